@@ -34,11 +34,11 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.*")
 
 
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """v, root for a bounded number of edges: labels fall to the least id by repeated minima and jumps."""
     got = list(batches)
-    a = np.concatenate([b.column(0).to_numpy() for b in got] or [np.zeros(0, np.int64)])
-    b = np.concatenate([b.column(1).to_numpy() for b in got] or [np.zeros(0, np.int64)])
+    a = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in got] or [np.zeros(0, np.int64)])
+    b = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in got] or [np.zeros(0, np.int64)])
     ids, places = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = places[: len(a)], places[len(a) :]
     root = np.arange(len(ids))
@@ -175,7 +175,7 @@ def groups(edges: DataFrame, left: str = "left_rowid", right: str = "right_rowid
         if work.count > 0.9 * before:
             work.contract()
     if work.count:
-        core = work.edges.coalesce(1).mapInArrow(_union_find, "v bigint, root bigint")
+        core = work.edges.coalesce(1).mapInArrow(union_find, "v bigint, root bigint")
         labels = work.stages.put(core)
     else:
         labels = work.edges.select(F.col("a").alias("v"), F.col("b").alias("root")).where("false")
