@@ -80,7 +80,8 @@ def compact(text: Column) -> Column:
 def shingles(text: Column, width: int = WIDTH) -> Column:
     """The distinct strings of ``width`` characters of the compacted text; a shorter text is its own one, an empty one has none."""
     c = compact(text)
-    many = F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))
+    # the search goes on by one UTF-16 unit, so starts inside a surrogate pair are left out
+    many = F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?=([^\x{{dc00}}-\x{{dfff}}].{{{width - 1}}}))"), F.lit(1)))
     return F.when(c == "", F.array().cast("array<string>")).when(F.length(c) <= width, F.array(c)).otherwise(many)
 
 
