@@ -47,7 +47,7 @@ def alibi_slope(head: Column, heads: int) -> Column:
 def alibi(spark: SparkSession, heads: int, length: int) -> DataFrame:
     h = spark.range(heads).select(F.col("id").alias("head"))
     d = spark.range(length).select(F.col("id").alias("distance"))
-    return h.crossJoin(d).select("head", "distance", alibi_slope(F.col("head"), heads).alias("slope")).withColumn("bias", -F.col("slope") * F.col("distance"))
+    return h.crossJoin(d).select("head", "distance", alibi_slope(F.col("head"), heads).alias("slope")).withColumn("bias", F.lit(0.0) - F.col("slope") * F.col("distance"))
 
 
 def run_matrix(spark: SparkSession) -> DataFrame:

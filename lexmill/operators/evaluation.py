@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.running import hex_prefix, row_index
+
 
 def windows(docs: DataFrame, n: str = "token_count", context: int = 512, stride: int = 256) -> DataFrame:
     """document_id, window, start, end, first_target: every target from 1 to n - 1 once. Texts under two tokens have none."""
@@ -68,8 +70,7 @@ def draws(scores: DataFrame, resamples: int, seed: int = 5) -> DataFrame:
     every method has the same draws. Replicate r draws document number digest(seed, r, position) mod n, as often as there are
     documents: a pure function of its arguments, so that batches, partitions and engines agree."""
     means = scores.groupBy("method", "document_id").agg(F.avg("nll_sum").alias("m"), F.max("token_count").alias("n"))
-    index = Window.orderBy("document_id")
-    numbered = scores.select("document_id").distinct().withColumn("d", F.row_number().over(index) - 1)
+    numbered = row_index(scores.select("document_id").distinct(), [], ["document_id"], "d", hex_prefix("document_id"))
     total = numbered.agg(F.count("*").alias("documents"))
     spark = scores.sparkSession
     hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "replicate", "position")), 1, 12), 16, 10).cast("bigint")

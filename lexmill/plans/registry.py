@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import corpus
+from lexmill.plans import corpus, evaluation, subset
 
-MODULES = (corpus,)
+MODULES = (corpus, subset, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
