@@ -25,14 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import arrays as A
+from lexmill.operators.pairs import HOT, block_pairs
 from lexmill.session import Stages, broadcast_if
 
 FUNCTIONS, BINS, BANDS, ROWS, WORDS = 16, 16, 32, 8, 8
 WIDTH = 5
 #: How far below the threshold the estimate may lie, more than five standard deviations of 256 minima.
 MARGIN = 0.17
-#: A bucket with more classes than this is joined in blocks of half the size.
-HOT = 2000
 #: Rows of ids that may be broadcast; more are shuffled.
 SMALL = 200_000
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -151,16 +150,6 @@ def estimate(left: str, right: str) -> Column:
     return 1 - (wrong / (FUNCTIONS * BINS)) / 0.75
 
 
-def block_pairs(rows: DataFrame, key: str, item: str, size: str, hot: int = HOT) -> DataFrame:
-    """All unordered pairs (l < r) of items with one key. A group of over ``hot`` items (``size``) is cut into
-    blocks by a hash, and each pair of blocks is joined by itself, so no task holds a group."""
-    blocks = F.when(F.col(size) > hot, F.ceil(F.col(size) / (hot / 2))).otherwise(F.lit(1)).cast("int")
-    base = rows.select(F.col(key).alias("k"), F.col(item).alias("i"), blocks.alias("n")).withColumn("b", F.pmod(F.xxhash64("i", F.lit(17)), F.col("n")).cast("int"))
-    left = base.select("k", F.col("i").alias("x"), F.col("b").alias("bl"), F.explode(F.sequence("b", F.col("n") - 1)).alias("br"))
-    right = base.select("k", F.col("i").alias("y"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("bl"), F.col("b").alias("br"))
-    return left.join(right, ["k", "bl", "br"]).where("bl < br or x < y").select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("r"))
-
-
 @dataclass
 class NearPairs:
     """pairs(l, r, similarity) between class representatives; members(rep, id) of the classes with more than one text."""
@@ -185,7 +174,7 @@ def near_pairs(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_c
     bands = single.select("id", F.explode("bands").alias("key"))
     live = stages.put(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = bands.join(broadcast_if(live, live.count(), SMALL), "key")
-    pairs = block_pairs(shared, "key", "id", "n", hot).where("l <> r").distinct()
+    pairs = block_pairs(shared, "key", "id", "n", hot).distinct()
     bits = single.select("id", "bits")
     cand = (
         pairs.join(bits.toDF("l", "bl"), "l")

@@ -39,7 +39,7 @@ r(v, l) as (select a, a from e union select e.b, r.l from r join e on e.a = r.v
 select v rowid, min(l) group_rowid from r group by v
 """,
         "p4_found": r"""
-with d as (select doc_id, nfc_normalize(text) t from documents where text is not null),
+with d as (select doc_id, array_to_string(list_transform(string_split(text, chr(0)), lambda x: nfc_normalize(x)), chr(0)) t from documents where text is not null),
 c as (select doc_id, regexp_replace(t, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g') c
       from d where length(regexp_replace(t, '[^\p{L}]', '', 'g')) >= 50),
 s as (select doc_id, list_distinct(list_transform(range(1, length(c) - 3), lambda i: substr(c, i, 5))) g from c),
