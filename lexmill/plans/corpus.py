@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import ids, text
 from lexmill.operators import ingest, manifest, near, profile
-from lexmill.session import Stages, table
+from lexmill.session import Stages, table, texts
 
 LOW = 0.80
 
 
 def raw(s: SparkSession, d: str) -> DataFrame:
-    return ingest.raw_records(table(s, d, "documents"), table(s, d, "source_settings"))
+    return ingest.raw_records(texts(s, d), table(s, d, "source_settings"))
 
 
 def norm(s: SparkSession, d: str) -> DataFrame:
