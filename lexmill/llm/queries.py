@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.llm import budget, components, langid, leakage, mixing, neardup, overlap, packing, sampling, splits
 from lexmill.llm.records import split_name
 from lexmill.llm.tokens import ByteCounter
-from lexmill.session import table
+from lexmill.session import table, texts
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = os.environ.get("LEXMILL_TOKENIZERS", "/opt/tokenizers")
@@ -58,20 +58,20 @@ def p3_found(s, d):
 
 
 def p4_found(s, d):
-    found = neardup.near_pairs(table(s, d, "documents"), 0.85)
+    found = neardup.near_pairs(texts(s, d), 0.85)
     return neardup.expand(found).toDF("left_doc_id", "right_doc_id")
 
 
 def p4_classes(s, d):
-    return neardup.per_document(neardup.near_pairs(table(s, d, "documents"), 0.85))
+    return neardup.per_document(neardup.near_pairs(texts(s, d), 0.85))
 
 
 def p5_budget(s, d):
-    return budget.budget(table(s, d, "documents"), budget.piece_counter(table(s, d, "tokenizer_pieces")), table(s, d, "token_counts"))
+    return budget.budget(texts(s, d), budget.piece_counter(table(s, d, "tokenizer_pieces")), table(s, d, "token_counts"))
 
 
 def p5_documents(s, d):
-    return budget.document_tokens(table(s, d, "documents"), budget.piece_counter(table(s, d, "tokenizer_pieces")))
+    return budget.document_tokens(texts(s, d), budget.piece_counter(table(s, d, "tokenizer_pieces")))
 
 
 def p6_found(s, d):
@@ -84,7 +84,7 @@ def p6_report(s, d):
 
 def p6_texts(s, d):
     split = table(s, d, "manifests").where("doc_rowid is not null").groupBy(F.col("doc_rowid").alias("doc_id")).agg(F.min("document_id").alias("id"), F.min(split_name(F.col("split"))).alias("split"))
-    return overlap.contained_texts(table(s, d, "documents").select("doc_id", "text").join(split, "doc_id"))
+    return overlap.contained_texts(texts(s, d).select("doc_id", "text").join(split, "doc_id"))
 
 
 def p7_sample(s, d):
@@ -92,7 +92,7 @@ def p7_sample(s, d):
 
 
 def p8_sequences(s, d):
-    return packing.sequences(table(s, d, "documents"), public_counter())
+    return packing.sequences(texts(s, d), public_counter())
 
 
 def p8_fill(s, d):
@@ -100,26 +100,26 @@ def p8_fill(s, d):
 
 
 def p9_found(s, d):
-    return leakage.leaks(table(s, d, "documents"), table(s, d, "benchmark_items")).select("doc_id", "item_id")
+    return leakage.leaks(texts(s, d), table(s, d, "benchmark_items")).select("doc_id", "item_id")
 
 
 def p9_items(s, d):
-    found = leakage.leaks(table(s, d, "documents"), table(s, d, "benchmark_items"))
+    found = leakage.leaks(texts(s, d), table(s, d, "benchmark_items"))
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max(F.col("matched_words") / F.col("item_words")).alias("most_of_item"))
 
 
 def p10_found(s, d):
-    docs = table(s, d, "documents")
+    docs = texts(s, d)
     return langid.cases(langid.documents(docs, langid.fit(docs)))
 
 
 def p10_documents(s, d):
-    docs = table(s, d, "documents")
+    docs = texts(s, d)
     return langid.documents(docs, langid.fit(docs))
 
 
 def p10_passages(s, d):
-    docs = table(s, d, "documents")
+    docs = texts(s, d)
     return langid.passages(docs, langid.fit(docs))
 
 
