@@ -1,0 +1,312 @@
+"""The llm operators against brute force, round trips and held-out accuracy on small fixtures."""
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexmill.llm import budget, components, langid, leakage, mixing, neardup, overlap, packing, sampling, splits, tokens
+from lexmill.llm.queries import TOKENIZERS, public_counter
+from lexmill.session import table
+
+WORDS = [a + b for a in ("kit", "qal", "bul", "şəh", "yol", "dəm", "gül", "çör", "öyr", "iş") for b in ("ab", "ada", "aqlar", "ərdə", "imiz", "dən", "lik", "ünü", "ac", "əyin")]
+
+
+def words(rnd, n):
+    return [rnd.choice(WORDS) + rnd.choice(["", "", "da", "lar", "ın"]) for _ in range(n)]
+
+
+def brute_groups(edges):
+    p = {}
+
+    def find(x):
+        while p[x] != x:
+            p[x] = p[p[x]]
+            x = p[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            p.setdefault(a, a), p.setdefault(b, b)
+            a, b = find(a), find(b)
+            p[max(a, b)] = min(a, b)
+    return {x: find(x) for x in p}
+
+
+def graph(seed):
+    rnd = random.Random(seed)
+    e = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + (i + 1) % 50) for i in range(50)] + [(2000, 2001 + i) for i in range(60)]
+    e += [(rnd.randrange(3000, 3200), rnd.randrange(3000, 3200)) for _ in range(300)] + [(4000 + i, 4000 + i // 2) for i in range(1, 128)]
+    e += [(5000, 5001), (5001, 5002), (5002, 5000), (5002, 5003)] + [(6000 + i, 6000 + j) for i in range(8) for j in range(i)]
+    perm = list(range(10000))
+    rnd.shuffle(perm)
+    e = [(perm[a], perm[b]) for a, b in e]
+    rnd.shuffle(e)
+    return e + [e[0], e[1][::-1], (None, 5), (7, None)]
+
+
+@pytest.mark.parametrize("core", [100_000, 0])
+def test_groups(spark, core):
+    e = graph(1)
+    got = components.groups(spark.createDataFrame(e, "left_rowid bigint, right_rowid bigint"), core_edges=core).collect()
+    assert len(got) == len({r.rowid for r in got})
+    assert {r.rowid: r.group_rowid for r in got} == brute_groups(e)
+
+
+@pytest.mark.parametrize("merge", [100_000, 0])
+def test_frontier_search(spark, merge):
+    e = [(f"{a:05d}", f"{b:05d}") for a, b in graph(2) if a is not None and b is not None]
+    got = splits.search(spark.createDataFrame(e, "a string, b string"), merge_edges=merge).collect()
+    want = brute_groups(e)
+    assert {r.v for r in got} == set(want) and len(got) == len(want)
+    pairs = {(r.root, want[r.v]) for r in got}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_records_with_several_keys(spark):
+    rows = [("r1", "a1", "s1"), ("r2", "a1", None), ("r3", None, "s1"), ("r4", "a2", "s2"), ("r5", None, None), ("r6", "a2", "s3"), (None, "a9", "s9")]
+    got = {r.id: r.component for r in splits.components(spark.createDataFrame(rows, "id string, author string, src string"), "id", ["author", "src"]).collect()}
+    assert got["r1"] == got["r2"] == got["r3"] and got["r4"] == got["r6"] and len(set(got.values())) == 3 and len(got) == 6
+
+
+def test_split_proportions_and_hot_component(spark):
+    rows = [(f"d{i}", "hot" if i % 3 == 0 else f"c{i // 4}") for i in range(9000)]
+    members = spark.createDataFrame(rows, "id string, component string")
+    got = splits.assign(members).collect()
+    assert len(got) == len({r.component for r in got}) == len({c for _, c in rows})
+    n = Counter()
+    for r in got:
+        n[r.split] += r.records
+    assert abs(n["train"] - 8100) <= 10 and abs(n["validation"] - 450) <= 10 and abs(n["test"] - 450) <= 10
+
+
+def similarity(a, b):
+    x, y = ({t[i : i + 5] for i in range(len(t) - 4)} for t in ("".join(s.split()) for s in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def test_near_pairs_against_brute_force(spark):
+    rnd = random.Random(4)
+    texts = []
+    for _ in range(40):
+        base = words(rnd, rnd.choice([15, 40, 120]))
+        for _ in range(3):
+            w = list(base)
+            for _ in range(rnd.randrange(0, 4)):
+                w[rnd.randrange(len(w))] = rnd.choice(WORDS)
+            texts.append(" ".join(w))
+    texts += [texts[0], texts[0].replace(" ", "\n"), texts[0], None, "", "qısa", "x" * 200_000, "x" * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ok = [i for i, t in enumerate(texts) if t and sum(c.isalpha() for c in t) >= 50]
+    want = {(i, j) for k, i in enumerate(ok) for j in ok[k + 1 :] if similarity(texts[i], texts[j]) >= 0.85}
+    for hot in (2000, 3):
+        found = neardup.near_pairs(df, 0.85, hot=hot)
+        assert {(r.l, r.r) for r in neardup.expand(found, hot).collect()} == want
+    per = neardup.per_document(found).collect()
+    assert {r.id for r in per} == set(ok) and next(r for r in per if r.id == 0).copies >= 4
+
+
+def test_estimate_is_near_the_truth(spark):
+    rnd = random.Random(6)
+    base = words(rnd, 200)
+    texts = [" ".join(base)] + [" ".join(base[k:] + words(rnd, k)) for k in (5, 20, 60)]
+    from lexmill.llm import arrays as A
+
+    cps, starts, _ = neardup.compact(texts)
+    sig = neardup.signatures(*A.ngrams(cps, starts, 5))
+    bits = neardup.packed(sig)
+    df = spark.createDataFrame([(i, bits[0].tolist(), bits[i].tolist()) for i in range(4)], "i int, a array<bigint>, b array<bigint>")
+    for r in df.select("i", neardup.estimate("a", "b").alias("e")).collect():
+        assert abs(r.e - similarity(texts[0], texts[r.i])) < 0.12
+
+
+def test_leaks(spark):
+    rnd = random.Random(8)
+    items = [words(rnd, n) for n in (45, 60, 80, 110)] + [words(rnd, 3)]
+
+    def hide(w, k):
+        w = list(w)
+        for i in range(k % 7, len(w), 7):
+            w[i] = "yanlış"
+        return w
+
+    docs, want = [], set()
+    for i in range(60):
+        item = i % 4
+        n = len(items[item])
+        share = (0.5, 1.0, 0.3, 0.0)[i // 4 % 4]
+        part = items[item][rnd.randrange(0, max(1, n - int(n * share + 1))) :][: int(n * share + 0.999)]
+        if share == 0.5:
+            part = hide(part, i)
+        t = " ".join(part)
+        t = (t.upper(), t.translate(str.maketrans("əçşüö", "ecsuo")), t.replace("a", "\u0430"), t.replace(" ", "  <b>"), t)[i % 5]
+        docs.append((i, " ".join(words(rnd, rnd.randrange(5, 400))) + " " + t + ". " + " ".join(words(rnd, 50))))
+        if share >= 0.5:
+            want.add((i, item))
+    docs += [(100, None), (101, ""), (None, docs[0][1])]
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(9, None), (10, "")], "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
+def test_broken_words_and_marks():
+    same = ["Şəhərin kitabı böyük", "sеherin ki­tabi bo-\nyuk", "ŞƏHƏRİN <i>kitabı</i>&nbsp;böyük!", "Şəhərin ki​tabı böyük".replace("ö", "ö")]
+    h, b = leakage.words(same)
+    assert all((h[b[i] : b[i + 1]] == h[b[0] : b[1]]).all() for i in range(4))
+
+
+def test_language_accuracy_held_out(spark, small):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    model = langid.fit(docs.where(half))
+    held = langid.documents(docs.where(~half), model).where("letters >= 50 and share >= 0.8 and label_lang is not null").toPandas()
+    # labels are wrong in about one document of ten
+    assert (held.lang == held.label_lang).mean() > 0.85
+    made = spark.createDataFrame([(1, "The quick river and the old house were quiet in the morning light " * 8, "az"), (2, None, "az"), (3, "123 ...", None)], "doc_id bigint, text string, lang string")
+    got = langid.documents(made, model).collect()
+    assert {(r.id, r.lang) for r in got} == {(1, "en"), (2, None), (3, None)}
+    assert [(r.doc_id, r.lang) for r in langid.cases(langid.documents(made, model)).collect()] == [(1, "en")]
+
+
+def test_mixed_language_passages(spark, small):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.fit(docs)
+    one = langid.documents(docs, model).where("share > 0.99 and letters between 500 and 1500 and label_lang = lang").join(docs.select(F.col("doc_id").alias("id"), "text"), "id").orderBy("id").toPandas()
+    az, ru = one[one.lang == "az"].text.iloc[0], one[one.lang == "ru"].text.iloc[0]
+    mixed = spark.createDataFrame([(1, az + "\n" + ru, "az")], "doc_id bigint, text string, lang string")
+    got = langid.passages(mixed, model).orderBy("begin").collect()
+    assert [r.lang for r in got] == ["az", "ru"] and abs(got[1].begin - len(az)) < 60 and all(r.confidence > 0.8 for r in got)
+    assert {r.lang for r in langid.cases(langid.documents(mixed, model)).collect()} == {"az", "ru"}
+
+
+@pytest.mark.parametrize("label, lang", [("AZ", "az"), (" az_AZ", "az"), ("az-Latn", "az"), ("Azerbaijani", "az"), ("tur", "tr"), ("en-US", "en"), ("RU", "ru"), ("", None), ("und", None), (None, None), ("xx", None)])
+def test_labels(spark, label, lang):
+    assert spark.createDataFrame([(label,)], "l string").select(langid.language_of(F.col("l"))).first()[0] == lang
+
+
+def test_packing_holds_and_is_tight():
+    rnd = np.random.default_rng(3)
+    sizes = np.clip(rnd.lognormal(5.5, 0.8, 4000).astype(int), 1, 2048)
+    seq, start = packing.pack(sizes, 2048)
+    fill = Counter()
+    for s, o, n in sorted(zip(seq, start, sizes)):
+        assert fill[s] == o
+        fill[s] += n
+    assert max(fill.values()) <= 2048 and sizes.sum() / (len(fill) * 2048) > 0.98
+
+
+def test_sequences(spark):
+    class One:
+        def __call__(self, texts):
+            return np.array([len(t) for t in texts], np.int64)
+
+    rows = [(1, "x" * 45), (2, None), (3, ""), (4, "x" * 20), (5, "x" * 7), (5, "x" * 7), (None, "x"), (6, "x" * 10)]
+    got = packing.sequences(spark.createDataFrame(rows, "doc_id bigint, text string"), One(), capacity=10).collect()
+    per = Counter()
+    for r in got:
+        if r.tokens:
+            per[r.sequence_id] += r.tokens
+            assert r.start + r.tokens <= 10
+    assert max(per.values()) <= 10
+    assert Counter(r.doc_id for r in got) == {1: 5, 2: 1, 3: 1, 4: 2, 5: 1, 6: 1}
+    assert {r.doc_id for r in got if r.sequence_id is None} == {2, 3}
+
+
+def test_counters_equal_their_tokenizers(spark, small):
+    texts = [r.text for r in table(spark, small, "documents").where("text is not null").select("text").collect()] + ["a  b\n c ", "  ", "", "\t x", "don't  stop \n\n 12 "]
+    own = public_counter()
+    encode = own.encoding().encode_ordinary
+    assert own(texts).tolist() == [len(encode(t)) for t in texts]
+    tokenizers = pytest.importorskip("tokenizers")
+    counter = budget.piece_counter(table(spark, small, "tokenizer_pieces"))
+    t = tokenizers.Tokenizer(tokenizers.models.Unigram([(p or "<eod>", s) for p, s in counter.pieces], unk_id=counter.unknown))
+    t.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
+    import unicodedata
+
+    one_line = [" ".join(unicodedata.normalize("NFC", x).split()) for x in texts]
+    near = sum(abs(int(a) - len(t.encode(x, add_special_tokens=False).ids)) for a, x in zip(counter(texts), one_line))
+    assert near <= 0.001 * counter(texts).sum()  # equal but for ties between segmentations of one score
+
+
+def test_budget_counts_copies(spark):
+    class Words:
+        def __call__(self, texts):
+            return np.array([len(t.split()) for t in texts], np.int64)
+
+    rows = [(i, "bir iki üç" if i % 3 else f"tək {i}") for i in range(30)] + [(99, None)]
+    got = {r.id: r.tokens for r in budget.document_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), Words()).collect()}
+    assert got == {i: (0 if t is None else len(t.split())) for i, t in rows}
+
+
+def test_overlap_hot_feature(spark):
+    rows = [(f"t{i}", "train", "hot") for i in range(3000)] + [("e1", "test", "hot"), ("e2", "validation", "x"), ("t1", "train", "x"), ("e1", "train", "y"), ("e1", "test", "y")]
+    got = overlap.hits(spark.createDataFrame(rows, "id string, split string, feature string")).collect()
+    assert {(r.e, r.t) for r in got} == {("e1", f"t{i}") for i in range(3000)} | {("e2", "t1")}
+
+
+def test_contained_texts(spark):
+    rnd = random.Random(9)
+    w = words(rnd, 60)
+    rows = [("e", "test", " ".join(w)), ("t", "train", " ".join(words(rnd, 50) + w + words(rnd, 50))), ("u", "train", " ".join(words(rnd, 100))), ("n", "train", None)]
+    got = overlap.contained_texts(spark.createDataFrame(rows, "id string, split string, text string")).collect()
+    assert [(r.eval_id, r.train_id, r.containment) for r in got] == [("e", "t", 1.0)]
+
+
+def test_sample_keeps_members(spark):
+    rnd = random.Random(11)
+    old = [(f"d{i}", rnd.choice([None, 0, 100, 900, 4000])) for i in range(3000)]
+    new = [(f"d{rnd.randrange(4000)}", rnd.choice([None, 50, 2000])) for _ in range(3000)]
+    a, b = (spark.createDataFrame(x, "document_id string, token_count bigint") for x in (old, new))
+    stored = sampling.weights(a)
+    before = {r.document_id for r in sampling.sample(stored).collect()}
+    after = {r.document_id for r in sampling.sample(sampling.advance(stored, b)).collect()}
+    again = {r.document_id for r in sampling.sample(sampling.weights(b.unionByName(a).repartition(7))).collect()}
+    assert before <= after == again and before
+    heavy = [d for d, n in old if n == 4000]
+    assert 0.7 < len(before & set(heavy)) / len(heavy) < 0.9
+
+
+def test_permutation_and_draws():
+    for n in (1, 2, 7, 100, 1025):
+        p = mixing._permuted(np.arange(n), n, 5)
+        assert sorted(p) == list(range(n))
+    slots = np.array([700, 0, 313, 90])
+    total, at = np.zeros(4, int), np.zeros(4, int)
+    for shard in range(12):
+        before, own = mixing._shard_counts(shard, 12, slots, 100, 1)
+        assert (before == at).all()
+        at, total = at + own, total + own
+    assert (total == slots).all()
+
+
+def test_mix_shares_and_repeats(spark):
+    rnd = random.Random(13)
+    rows = [(f"d{i}", ("News" if i % 3 else "books") if i % 50 else None, "s-news" if i % 3 else "s-books", rnd.randrange(1, 300), i) for i in range(3000)] + [("long", "Books", "s", 20_000, 1), ("zero", "News", "s", 0, 1), ("other", "x", "s", 50, 1)]
+    counts = spark.createDataFrame(rows, "document_id string, source_group string, source string, token_count bigint, counted_at int").withColumn("split", F.lit("train")).withColumn("counted_at", F.timestamp_seconds("counted_at"))
+    targets = spark.createDataFrame([("News", 0.4, 1), ("Books", 0.6, 3)], "source_group string, target_share double, max_repeats int")
+    settings = spark.createDataFrame([("s_news", "News"), ("s_books", "Books")], "source string, source_group string")
+    got = mixing.mix(counts, targets, settings, block=64)
+    shares = {r.source_group: r for r in got.shares.collect()}
+    for g, goal, most in (("News", 0.4, 1), ("Books", 0.6, 3)):
+        assert abs(shares[g].actual_share - goal) < 0.002 and shares[g].most_uses <= most
+    chosen = {r.document_id: r for r in got.chosen.collect()}
+    n = {r[0]: r[3] for r in rows}
+    assert all(0 < r.tokens_used <= r.uses * n[d] for d, r in chosen.items()) and "zero" not in chosen and "other" not in chosen
+    slots = got.slots.groupBy("source_group", "block").count().collect()
+    assert max(r["count"] for r in slots if r.source_group == "News") == 1 and max(r["count"] for r in slots) <= 3
+    assert rows_of(got.chosen) == rows_of(mixing.mix(counts.repartition(9), targets, settings, block=64).chosen)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_piece_counter_memory(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 3)
+    c = tokens.PieceCounter([("<unk>", 0.0), ("", 0.0), ("▁a", -1.0), ("b", -1.0), ("▁", -2.0), ("a", -3.0)])
+    assert c(["a ab aab abb b xx x", ""]).tolist() == [1 + 2 + 3 + 3 + 2 + 2 + 2, 0]
+
+
+def test_tokenizer_path_is_a_parameter():
+    assert public_counter(TOKENIZERS, "byte_bpe_50k.tiktoken")(["söz"])[0] > 0
