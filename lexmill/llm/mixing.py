@@ -127,7 +127,8 @@ def mix(counts: DataFrame, targets: DataFrame, settings: DataFrame | None = None
                     yield pd.DataFrame({"shard": shard, "gi": np.int32(g), "slot": s, "block": to, "epoch": epoch.astype(np.int32)})
 
     drawn = spark.range(shards).mapInPandas(draw, "shard bigint, gi int, slot bigint, block bigint, epoch int")
-    used = drawn.groupBy("gi", "block").agg(F.count("*").alias("uses"))
+    # the planner takes what a range of shards becomes for as small as the range; the hint keeps it from being broadcast
+    used = drawn.groupBy("gi", "block").agg(F.count("*").alias("uses")).hint("merge")
     inside = Window.partitionBy("gi", "range").orderBy("h", "document_id").rowsBetween(Window.unboundedPreceding, 0)
     ends = placed.join(F.broadcast(sums.select("gi", "range", "before")), ["gi", "range"]).withColumn("end", F.col("before") + F.sum("token_count").over(inside))
     ends = ends.withColumn("start", F.col("end") - F.col("token_count"))
