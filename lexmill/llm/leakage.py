@@ -142,10 +142,9 @@ class Items:
         return least[order], np.array(group)[order]
 
 
-def _candidates(items: Items, hashes: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int, int]]:
-    """(text, item, first word of the window) wherever a window has a minimum in common with an item."""
+def _candidates(items: Items, grams: np.ndarray, at: np.ndarray) -> set[tuple[int, int, int]]:
+    """(text, item, first word of the window) wherever a window of the shingles has a minimum in common with an item."""
     found: set[tuple[int, int, int]] = set()
-    grams, at = A.ngrams(hashes, bounds, SHINGLE)
     if not len(grams):
         return found
     lengths = np.diff(at)
@@ -189,6 +188,13 @@ def _joined(low: np.ndarray, by: int, owner: np.ndarray, same: dict[int, np.ndar
     return np.minimum(low, _shifted(low, by, owner, same))
 
 
+def _shared(own: np.ndarray, grams: np.ndarray) -> int:
+    """How many of an item's sorted shingles are among the given ones."""
+    place = np.searchsorted(own, grams)
+    place[place == len(own)] = 0
+    return int(np.bincount(place[own[place] == grams], minlength=1).astype(bool).sum())
+
+
 def longest_run(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Most item words matched, in order and in one run with at most one word in WRONG wrong; and that run's length.
 
@@ -224,13 +230,13 @@ def _search(items: Items):
             rows: dict[tuple[int, int], tuple[int, int]] = {}
             for a, b in A.slices(texts):
                 hashes, bounds = words(texts[a:b])
-                for doc, item, first in _candidates(items, hashes, bounds):
+                grams, at = A.ngrams(hashes, bounds, SHINGLE)
+                for doc, item, first in _candidates(items, grams, at):
                     own = items.words[item]
-                    begin = max(0, first - len(own))
-                    region = hashes[bounds[doc] :][: bounds[doc + 1] - bounds[doc]][begin : first + 3 * len(own) + BLOCK]
-                    shared = np.isin(items.shingles[item], A.ngrams(region, np.array([0, len(region)]), SHINGLE)[0]).sum()
-                    if shared >= len(own) / 4 - 2 and shared > 0:
-                        got = longest_run(own, region)
+                    begin, end = max(0, first - len(own)), first + 3 * len(own) + BLOCK
+                    shared = _shared(items.shingles[item], grams[at[doc] + begin : min(at[doc] + end, at[doc + 1])])
+                    if shared >= max(1, len(own) / 4 - 2):
+                        got = longest_run(own, hashes[bounds[doc] + begin : min(bounds[doc] + end, bounds[doc + 1])])
                         if got[0] >= SHARE * len(own):
                             rows[a + doc, item] = max(rows.get((a + doc, item), (0, 0)), got)
             keys = list(rows)
