@@ -41,3 +41,29 @@ def row_problems(manifests: DataFrame) -> DataFrame:
     """Of each file: rows, ids that are not 64 hex digits, positions that occur twice, the least and greatest position."""
     per = manifests.groupBy("processed_file", "processed_row").agg(F.count("*").alias("n"), F.count_if(~F.col("document_id").rlike("^[0-9a-f]{64}$")).alias("bad"))
     return per.groupBy("processed_file").agg(F.sum("n").alias("records"), F.sum("bad").alias("bad_ids"), F.count_if(F.col("n") > 1).alias("repeated_positions"), F.min("processed_row").alias("first_row"), F.max("processed_row").alias("last_row"))
+
+
+def order_problems(rows: DataFrame, group: str, position: str, identifier: str) -> DataFrame:
+    """group, rows, gaps, disorder: positions that do not follow the one before, and identifiers not above the one before.
+    Compared with the row at the next position by a join, so a group is not held by one task."""
+    slim = rows.select(group, position, identifier).distinct()
+    nxt = slim.select(group, (F.col(position) - 1).alias(position), F.col(identifier).alias("_next"))
+    last = slim.groupBy(group).agg(F.max(position).alias("_last"), F.count("*").alias("rows"))
+    met = slim.join(nxt, [group, position], "left").join(F.broadcast(last), group)  # one row for each file or split
+    return met.groupBy(group).agg(F.first("rows").alias("rows"), F.count_if((F.col(position) < F.col("_last")) & F.col("_next").isNull()).alias("gaps"), F.count_if(F.coalesce(F.col("_next") <= F.col(identifier), F.lit(False))).alias("disorder"))
+
+
+def differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """key, field, left_value, right_value wherever two tables of the same records differ, or one lacks the record."""
+    fields = [c for c in left.columns if c != key and c in right.columns]
+
+    def long(df: DataFrame, name: str) -> DataFrame:
+        return df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias(name)) for c in fields])).alias("x")).select(key, "x.*", F.lit(True).alias(f"in_{name}"))
+
+    both = long(left, "left_value").join(long(right, "right_value"), [key, "field"], "full")
+    return both.where("not (left_value <=> right_value) or in_left_value is null or in_right_value is null").select(key, "field", "left_value", "right_value")
+
+
+def safe_path(path):
+    """Relative, without a step upwards."""
+    return ~path.rlike(r"^([A-Za-z]:)?[/\\\\]") & ~path.rlike(r"(^|[/\\\\])\.\.([/\\\\]|$)")

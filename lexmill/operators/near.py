@@ -5,7 +5,7 @@ Defined results: documents whose text is null take part in nothing; no documents
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import fingerprint, ids, text
@@ -63,6 +63,44 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     return scored.select("l", "r", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def exact_edges(docs: DataFrame, threshold: float) -> DataFrame:
+    """l, r, similarity: every pair at the threshold, without fingerprints. Shingles are ordered from rare to frequent; two sets that agree
+    to t share one of their ceil((1 - t) n) + 1 rarest ones, so only those are joined (in blocks, where one is frequent)."""
+    stages = Stages(docs.sparkSession)
+    each = stages.put(docs.select(F.col("row_index").alias("doc"), F.explode(F.transform(text.shingles(F.col("text")), lambda s: F.xxhash64(s))).alias("s")))
+    held = each.groupBy("s").agg(F.count("*").alias("df"))
+    sized = each.groupBy("doc").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("doc").orderBy("df", "s")
+    rare = each.join(held, "s").join(sized, "doc").withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
+    rare = stages.put(rare.select("doc", "s"))
+    common = rare.groupBy("s").agg(F.count("*").alias("size")).where("size > 1")
+    pairs = block_pairs(rare.join(common, "s"), "s", "doc", "size").distinct()
+    return verified(pairs, docs, threshold)
+
+
+def recall(exact: DataFrame, candidate_pairs: DataFrame, levels=(0.80, 0.85, 0.90, 0.95)) -> DataFrame:
+    """threshold, eligible, found, recall: how many of the true pairs are candidates."""
+    flags = exact.join(candidate_pairs.select("l", "r", F.lit(1).alias("hit")), ["l", "r"], "left")
+    rows = flags.select("similarity", "hit", F.explode(F.array(*map(F.lit, levels))).alias("threshold")).where("similarity >= threshold")
+    return rows.groupBy("threshold").agg(F.count("*").alias("eligible"), F.count("hit").alias("found")).withColumn("recall", F.col("found") / F.col("eligible"))
+
+
+def transitivity(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """cluster_id, pairs, least_pair, least_to_representative: similarity inside clusters, also where no edge joins two members."""
+    sized = members.join(members.groupBy("cluster_id").agg(F.count("*").alias("size")), "cluster_id")
+    pairs = block_pairs(sized, "cluster_id", "rowid", "size")
+    scored = verified(pairs, docs, 0.0)
+    own = members.select(F.col("rowid").alias("l"), "cluster_id", F.col("representative_rowid").alias("rep"))
+    to_rep = F.when((F.col("l") == F.col("rep")) | (F.col("r") == F.col("rep")), F.col("similarity"))
+    return scored.join(own, "l").groupBy("cluster_id").agg(F.count("*").alias("pairs"), F.min("similarity").alias("least_pair"), F.min(to_rep).alias("least_to_representative"))
+
+
+def leakage(edges: DataFrame, assigned: DataFrame) -> DataFrame:
+    """l, r, split_l, split_r, similarity of near pairs whose ends are in different splits."""
+    s = assigned.select(F.col("row_index").alias("d"), "split")
+    return edges.join(s.toDF("l", "split_l"), "l").join(s.toDF("r", "split_r"), "r").where("split_l <> split_r")
+
+
 def clusters(edges: DataFrame, docs: DataFrame) -> DataFrame:
     """rowid, cluster_id, representative_rowid, removed: the document with the least document_id stands for its cluster."""
     named = components(edges).join(docs.select(F.col("row_index").alias("v"), "document_id"), "v")

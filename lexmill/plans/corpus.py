@@ -363,3 +363,65 @@ def pilot_thresholds(s, d):
     levels = F.explode(F.array(*[F.lit(t) for t in (0.8, 0.85, 0.9, 0.95)])).alias("threshold")
     both = edges.join(src.toDF("l", "sl"), "l").join(src.toDF("r", "sr"), "r").select("similarity", "sl", "sr", levels).where("similarity >= threshold")
     return both.groupBy("threshold", F.least("sl", "sr").alias("source_a"), F.greatest("sl", "sr").alias("source_b")).agg(F.count("*").alias("pairs"))
+
+
+EXACT = f"""
+compacted as (select row_index, document_id, text, trim(regexp_replace(text, '[{SP}]+', ' ', 'g')) k from docs),
+sets as (select row_index, length(text) n, list_distinct(list_transform(range(1, length(k) - 3), lambda i: substr(k, i, 5))) g from compacted),
+each as (select row_index, len(g) size, unnest(g) g from sets),
+held as (select g, count(*) df from each group by g),
+rare as (select row_index, g from (select e.row_index, e.size, e.g, row_number() over (partition by e.row_index order by h.df, e.g) k from each e join held h using (g)) where k <= size - ceil(0.8 * size) + 1),
+close_ as (select distinct a.row_index l, b.row_index r from rare a join rare b on a.g = b.g and a.row_index < b.row_index),
+{edges_sql(LOW, 'close_')}"""
+
+
+def _exact(s, d):
+    docs = Stages(s).put(unique(s, d))
+    return docs, near.exact_edges(docs, LOW)
+
+
+@query(f"with {UNIQUE}, {EXACT} select l, r, similarity from edges")
+def near_edges_exact(s, d):
+    return _exact(s, d)[1]
+
+
+@query(f"""with {UNIQUE}, {EXACT.replace('edges as', 'exact as')}, {PRINTS.replace('compacted as', 'compacted2 as').replace('from compacted)', 'from compacted2)')},
+t as (select unnest([0.8, 0.85, 0.9, 0.95]::double[]) threshold)
+select threshold, count(*) eligible, count(c.l) found, count(c.l) / count(*) recall from t join exact e on similarity >= threshold left join candidates c on c.l = e.l and c.r = e.r group by threshold""")
+def candidate_recall(s, d):
+    docs, exact = _exact(s, d)
+    return near.recall(exact, near.candidates(near.bands(docs)))
+
+
+@query(f"""with {UNIQUE}, {EXACT}, b as (select row_index, ('0x' || substr(sha256(document_id || chr(0) || '2026'), 1, 16))::ubigint % 1000 b from docs),
+a as (select row_index, case when b < 900 then 'train' when b < 950 then 'validation' else 'test' end split from b)
+select e.l, e.r, x.split split_l, y.split split_r, e.similarity from edges e join a x on x.row_index = e.l join a y on y.row_index = e.r where x.split <> y.split""")
+def cross_split_leakage(s, d):
+    """What a split by document would leak: near pairs whose ends it tears apart."""
+    docs, exact = _exact(s, d)
+    return near.leakage(exact, docs.withColumn("split", ids.split_of(ids.split_bucket(F.col("document_id")))))
+
+
+@query(f"""{GRAPH}, full_sets as (select row_index, list_distinct(list_transform(range(1, length(k) - 3), lambda i: substr(k, i, 5))) g from compacted),
+w as (select a.cluster_id, a.rowid l, b.rowid r, a.representative_rowid rep from members a join members b on a.cluster_id = b.cluster_id and a.rowid < b.rowid),
+s as (select w.*, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) similarity from w join full_sets x on x.row_index = l join full_sets y on y.row_index = r)
+select cluster_id, count(*) pairs, min(similarity) least_pair, min(case when l = rep or r = rep then similarity end) least_to_representative from s group by 1""")
+def cluster_transitivity(s, d):
+    docs, _, members = _members(s, d)
+    return near.transitivity(members, docs)
+
+
+LETTERS_AZ = "əğıöüşçƏĞİÖÜŞÇ"
+
+
+@query(f"with {RAW}, l as (select unnest(string_split('{LETTERS_AZ}', '')) letter) select source, letter, sum(length(text) - length(replace(text, letter, '')))::bigint occurrences from raw, l where text is not null group by all")
+def azerbaijani_letters(s, d):
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("letter"), (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).alias("n")) for c in LETTERS_AZ])).alias("x")
+    return raw(s, d).where("text is not null").select("source", each).groupBy("source", "x.letter").agg(F.sum("x.n").alias("occurrences"))
+
+
+@query("""with m as (select distinct processed_file, processed_row, document_id from manifests), z as (select processed_file, max(processed_row) last_, count(*) "rows" from m group by 1)
+select m.processed_file, any_value(z.rows) "rows", count(*) filter (where m.processed_row < z.last_ and n.document_id is null) gaps, count(*) filter (where n.document_id <= m.document_id) disorder
+from m join z using (processed_file) left join m n on n.processed_file = m.processed_file and n.processed_row = m.processed_row + 1 group by 1""")
+def manifest_order(s, d):
+    return manifest.order_problems(table(s, d, "manifests"), "processed_file", "processed_row", "document_id")

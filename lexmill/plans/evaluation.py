@@ -178,3 +178,11 @@ def config_diff(s, d):
 def name_seeds(s, d):
     t = table(s, d, "source_settings")
     return t.select("source", ids.name_seed(F.lit(17), F.col("source")).alias("seed"))
+
+
+@query(f"""with {LEARNING}, r as (select *, rank() over (partition by milestone order by mean_nll) k from learning), led as (select milestone, string_agg("method", ',' order by "method") methods from r where k = 1 group by 1)
+select milestone, methods, (select count(distinct methods) > 1 from led) changes from led""")
+def leading_methods(s, d):
+    rows = evaluation.learning(_learning(s, d), "milestone").where("lowest").groupBy("milestone").agg(F.array_join(F.array_sort(F.collect_list("method")), ",").alias("methods"))
+    changes = rows.agg((F.count_distinct("methods") > 1).alias("changes"))
+    return rows.crossJoin(F.broadcast(changes))  # one row
