@@ -14,20 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.tokens import counted
 from lexmill.llm.langid import language_of
 from lexmill.llm.records import latest, spelling, split_name
-from lexmill.llm.tokens import PieceCounter, counted
 from lexmill.session import Stages, broadcast_if
 
 SMALL = 200_000
-#: Pieces of a vocabulary; a larger table is no vocabulary.
-PIECES = 1_000_000
-
-
-def piece_counter(pieces: DataFrame) -> PieceCounter:
-    rows = pieces.where("piece is not null and score is not null").orderBy("piece_id").limit(PIECES).select("piece_id", "piece", "score").collect()
-    unknown = next((i for i, r in enumerate(rows) if r.piece_id == 0), 0)
-    return PieceCounter([("" if r.piece_id == 1 else r.piece, r.score) for r in rows], unknown)
 
 
 def document_tokens(docs: DataFrame, counter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

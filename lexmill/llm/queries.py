@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions.tokens import ByteCounter, piece_counter
 from lexmill.llm import budget, components, langid, leakage, mixing, neardup, overlap, packing, sampling, splits
 from lexmill.llm.records import split_name
-from lexmill.llm.tokens import ByteCounter
 from lexmill.session import table, texts
 
 #: Where the public tokenizers' files are.
@@ -67,11 +67,11 @@ def p4_classes(s, d):
 
 
 def p5_budget(s, d):
-    return budget.budget(texts(s, d), budget.piece_counter(table(s, d, "tokenizer_pieces")), table(s, d, "token_counts"))
+    return budget.budget(texts(s, d), piece_counter(table(s, d, "tokenizer_pieces")), table(s, d, "token_counts"))
 
 
 def p5_documents(s, d):
-    return budget.document_tokens(texts(s, d), budget.piece_counter(table(s, d, "tokenizer_pieces")))
+    return budget.document_tokens(texts(s, d), piece_counter(table(s, d, "tokenizer_pieces")))
 
 
 def p6_found(s, d):

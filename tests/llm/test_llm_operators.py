@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.llm import budget, components, langid, leakage, mixing, neardup, overlap, packing, sampling, splits, tokens
+from lexmill.functions import tokens
+from lexmill.llm import budget, components, langid, leakage, mixing, neardup, overlap, packing, sampling, splits
 from lexmill.llm.queries import TOKENIZERS, public_counter
 from lexmill.session import table
 
@@ -219,7 +220,7 @@ def test_counters_equal_their_tokenizers(spark, small):
     encode = own.encoding().encode_ordinary
     assert own(texts).tolist() == [len(encode(t)) for t in texts]
     tokenizers = pytest.importorskip("tokenizers")
-    counter = budget.piece_counter(table(spark, small, "tokenizer_pieces"))
+    counter = tokens.piece_counter(table(spark, small, "tokenizer_pieces"))
     t = tokenizers.Tokenizer(tokenizers.models.Unigram([(p or "<eod>", s) for p, s in counter.pieces], unk_id=counter.unknown))
     t.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
     import unicodedata
