@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +31,31 @@ def build(cores: str = "8", app: str = "lexmill", partitions: int = 16) -> Spark
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver was started: by its path, or, where executors
+    are other machines, as an archive that Spark hands to them. Once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    known = sc.environment.get("PYTHONPATH", "")
+    sc.environment["PYTHONPATH"] = os.pathsep.join([str(root), *([known] if known else [])])
+    if not sc.master.startswith("local"):
+        base = shared_dir(spark).removeprefix("file://")
+        at = Path(base if "://" not in base else tempfile.mkdtemp()) / f"lexmill-{sc.applicationId}.zip"  # read on the driver only
+        at.parent.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(at, "w") as z:
+            for f in sorted((root / "lexmill").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(at))
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
