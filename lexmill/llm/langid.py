@@ -111,7 +111,7 @@ class Model:
     def __init__(self, texts: list[str], labels: np.ndarray):
         self.table = self._fit(texts, labels)
         if len(texts):
-            own, share = self.documents(texts)
+            own = self.documents(texts)
             keep = own == labels
             for lang in range(len(LANGS)):
                 if not keep[labels == lang].any():
@@ -138,14 +138,15 @@ class Model:
             return np.zeros((0, self.table.shape[1]))
         return np.add.reduceat(self.table[w.bins], w.word_start, axis=0).astype(np.float64)
 
-    def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        own, share = [], []
+    def documents(self, texts: list[str]) -> np.ndarray:
+        """The likeliest language of each text."""
+        own = []
         for a, b in A.slices(texts):
             w = cut(texts[a:b])
             total = A.sums(self.scores(w), w.bounds)
             total[:, 0] = np.maximum(total[:, 0], total[:, -1])
             own.append(total[:, : len(LANGS)].argmax(axis=1))
-        return np.concatenate(own), np.zeros(0)
+        return np.concatenate(own)
 
 
 def runs(scores: np.ndarray, letters: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,9 +239,8 @@ def judge(model: Model, texts: list[str]) -> Iterator[tuple[int, int, list[tuple
             several = merged[d] > 0
             if several.sum() == 1:
                 lang = int(merged[d].argmax())
-                own = post[at[d] : at[d + 1], : len(LANGS)]
-                total = np.logaddexp.reduce(_document(scores[lo:hi])[None, :], axis=1)[0]
-                sure = float(np.exp(_document(scores[lo:hi])[lang] - total))
+                whole = _document(scores[lo:hi])
+                sure = float(np.exp(whole[lang] - np.logaddexp.reduce(whole)))
                 yield a + d, letters, [(int(w.begin[lo] - starts[d]), int(w.end[hi - 1] - starts[d]), lang, letters, sure)], sure
                 continue
             langs = path(scores[lo:hi], pi[d] > 0)
@@ -290,14 +290,25 @@ def _passages(model: Model):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """The model, from at most ``sample`` labelled documents of each language."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), language_of(F.col(label_col)).alias("label"))
+    """The model, from at most ``sample`` labelled documents of each language, those with the least hashes of their ids.
+
+    Labels are counted first, so that one scan brings about three samples of each language, however many rows there are."""
+    label = language_of(F.col(label_col)).alias("label")
+    have = {r.label: r.n for r in docs.select(label).where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not have:
+        return Model([], np.zeros(0, np.int64))
+    most = {lang: (1 << 63) * (2 * min(1.0, 3 * sample / n) - 1) for lang, n in have.items()}
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), label)
     rows = rows.where("text is not null and label is not null and length(text) >= 50").withColumn("h", F.xxhash64("id", F.lit(5)))
+    near = F.lit(False)
+    for lang, top in most.items():
+        near = near | ((F.col("label") == lang) & (F.col("h") <= min(int(top), (1 << 63) - 1)))
+    got = sorted(rows.where(near).select("label", "h", "id", "text").collect(), key=lambda r: (r.h, r.id is not None, r.id or 0, r.text))
     texts, labels = [], []
-    for lang in LANGS:
-        for r in rows.where(F.col("label") == lang).orderBy("h", "id", "text").limit(sample).select("text").collect():
-            texts.append(unicodedata.normalize("NFC", r.text))
-            labels.append(LANGS.index(lang))
+    for k, lang in enumerate(LANGS):
+        own = [r.text for r in got if r.label == lang][:sample]
+        texts += [unicodedata.normalize("NFC", t) for t in own]
+        labels += [k] * len(own)
     return Model(texts, np.array(labels, np.int64))
 
 
