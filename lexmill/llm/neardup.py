@@ -34,6 +34,8 @@ WIDTH = 5
 MARGIN = 0.17
 #: Rows of ids that may be broadcast; more are shuffled.
 SMALL = 200_000
+#: Classes of more copies are given as members and representative.
+COPIES = 1000
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -196,13 +198,19 @@ def near_pairs(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_c
     return NearPairs(out, members, sketch, spare)
 
 
-def expand(found: NearPairs, hot: int = HOT) -> DataFrame:
-    """All pairs of ids: links between classes carried over to their members, and the pairs inside each class."""
+def expand(found: NearPairs, hot: int = HOT, most: int = COPIES) -> DataFrame:
+    """All pairs of ids: links between classes carried over to their members, and the pairs inside each class.
+
+    A class of more than ``most`` copies is not expanded: each of its members is paired with the class's
+    representative, which alone carries its links, so that nothing is lost and the result does not grow with the square of the copies."""
     size = found.members.groupBy("rep").agg(F.count("*").alias("n"))
-    inside = block_pairs(found.members.join(size, "rep"), "rep", "id", "n", hot)
-    left, right = found.members.toDF("l", "li"), found.members.toDF("r", "ri")
-    across = found.pairs.join(left, "l", "left").join(right, "r", "left").select(F.coalesce("li", "l").alias("a"), F.coalesce("ri", "r").alias("b"))
-    return inside.unionByName(across.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r")))
+    sized = found.members.join(size, "rep")
+    few = sized.where(F.col("n") <= most)
+    inside = block_pairs(few, "rep", "id", "n", hot)
+    stars = sized.where((F.col("n") > most) & (F.col("rep") != F.col("id"))).select(F.col("rep").alias("l"), F.col("id").alias("r"))
+    own = few.select("rep", "id")
+    across = found.pairs.join(own.toDF("l", "li"), "l", "left").join(own.toDF("r", "ri"), "r", "left").select(F.coalesce("li", "l").alias("a"), F.coalesce("ri", "r").alias("b"))
+    return inside.unionByName(stars).unionByName(across.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r")))
 
 
 def per_document(found: NearPairs) -> DataFrame:

@@ -246,6 +246,21 @@ def test_overlap_hot_feature(spark):
     assert {(r.e, r.t) for r in got} == {("e1", f"t{i}") for i in range(3000)} | {("e2", "t1")}
 
 
+def test_overlap_huge_feature_by_representatives(spark):
+    rows = [(f"t{i}", "train", "huge") for i in range(60)] + [(f"e{i}", "test", "huge") for i in range(20)] + [("e1", "test", "x"), ("t5", "train", "x")]
+    got = {(r.e, r.t) for r in overlap.hits(spark.createDataFrame(rows, "id string, split string, feature string"), most_pairs=1000).collect()}
+    assert got == {(f"e{i}", "t0") for i in range(20)} | {("e0", f"t{i}") for i in range(60)} | {("e1", "t5")}
+
+
+def test_large_class_is_a_star(spark):
+    rnd = random.Random(5)
+    base = words(rnd, 60)
+    texts = [" ".join(base)] * 30 + [" ".join(base[:-1])] * 2
+    found = neardup.near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 0.85)
+    got = sorted((r.l, r.r) for r in neardup.expand(found, most=10).collect())
+    assert got == sorted([(0, i) for i in range(1, 30)] + [(30, 31), (0, 30), (0, 31)])
+
+
 def test_contained_texts(spark):
     rnd = random.Random(9)
     w = words(rnd, 60)
