@@ -82,9 +82,17 @@ def p6_report(s, d):
     return overlap.report(table(s, d, "manifests"))
 
 
-def p6_texts(s, d):
+def _texts(s: SparkSession, d: str) -> DataFrame:
     split = table(s, d, "manifests").where("doc_rowid is not null").groupBy(F.col("doc_rowid").alias("doc_id")).agg(F.min("document_id").alias("id"), F.min(split_name(F.col("split"))).alias("split"))
-    return overlap.contained_texts(texts(s, d).select("doc_id", "text").join(split, "doc_id"))
+    return texts(s, d).select("doc_id", "text").join(split, "doc_id").select("id", "split", "text")
+
+
+def p6_texts(s, d):
+    return overlap.contained_texts(_texts(s, d))
+
+
+def p6_members(s, d):
+    return overlap.text_classes(_texts(s, d))
 
 
 def p7_sample(s, d):
