@@ -31,9 +31,9 @@ def milestones(spark: SparkSession, total: int = 50_000_000, batch: int = 65_536
 
 
 def sinusoidal(spark: SparkSession, length: int, width: int, theta: float = 10000.0) -> DataFrame:
-    pos, pair = spark.range(length).select(F.col("id").alias("pos")), spark.range(width // 2).select(F.col("id").alias("pair"))
+    pos = spark.range(length).select(F.col("id").alias("pos"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(width // 2 - 1).cast("bigint"))).alias("pair"))
     angle = F.col("pos") * F.exp(F.lit(-1.0) * F.ln(F.lit(theta)) * (F.col("pair") * 2) / width)
-    both = pos.crossJoin(pair).withColumn("angle", angle)  # two parameters' ranges, no data
+    both = pos.withColumn("angle", angle)
     return both.select("pos", F.explode(F.array(F.struct((F.col("pair") * 2).alias("dim"), F.sin("angle").alias("value")), F.struct((F.col("pair") * 2 + 1).alias("dim"), F.cos("angle").alias("value")))).alias("x")).select("pos", "x.*")
 
 
@@ -45,15 +45,13 @@ def alibi_slope(head: Column, heads: int) -> Column:
 
 
 def alibi(spark: SparkSession, heads: int, length: int) -> DataFrame:
-    h = spark.range(heads).select(F.col("id").alias("head"))
-    d = spark.range(length).select(F.col("id").alias("distance"))
-    return h.crossJoin(d).select("head", "distance", alibi_slope(F.col("head"), heads).alias("slope")).withColumn("bias", F.lit(0.0) - F.col("slope") * F.col("distance"))
+    h = spark.range(heads).select(F.col("id").alias("head"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(length - 1).cast("bigint"))).alias("distance"))
+    return h.select("head", "distance", alibi_slope(F.col("head"), heads).alias("slope")).withColumn("bias", F.lit(0.0) - F.col("slope") * F.col("distance"))
 
 
 def run_matrix(spark: SparkSession) -> DataFrame:
-    m = spark.createDataFrame([(i, x) for i, x in enumerate(METHODS)], "method_order int, method string")
-    s = spark.createDataFrame([(x,) for x in SEEDS], "seed int")
-    return m.crossJoin(s).select("method", "seed", F.format_string("p31az-%s-s%d-t50m-c512-v16k", "method", "seed").alias("run_id"))
+    runs = spark.createDataFrame([(m, s) for m in METHODS for s in SEEDS], "method string, seed int")
+    return runs.select("method", "seed", F.format_string("p31az-%s-s%d-t50m-c512-v16k", "method", "seed").alias("run_id"))
 
 
 def benchmark_candidates(spark: SparkSession, batch: int = 65_536, length: int = 512, most: int = 256) -> DataFrame:

@@ -71,12 +71,12 @@ def draws(scores: DataFrame, resamples: int, seed: int = 5) -> DataFrame:
     documents: a pure function of its arguments, so that batches, partitions and engines agree."""
     means = scores.groupBy("method", "document_id").agg(F.avg("nll_sum").alias("m"), F.max("token_count").alias("n"))
     numbered = row_index(scores.select("document_id").distinct(), [], ["document_id"], "d", hex_prefix("document_id"))
-    total = numbered.agg(F.count("*").alias("documents"))
+    total = numbered.count()
     spark = scores.sparkSession
     hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "replicate", "position")), 1, 12), 16, 10).cast("bigint")
-    picks = spark.range(resamples).select(F.col("id").alias("replicate")).crossJoin(F.broadcast(total))  # one row on the right
-    picks = picks.select("replicate", "documents", F.explode(F.sequence(F.lit(0), F.col("documents") - 1)).alias("position"))
-    drawn = picks.select("replicate", F.pmod(hashed, F.col("documents")).alias("d")).groupBy("replicate", "d").agg(F.count("*").alias("times"))
+    # one row for each draw: positions are dealt out, so that a replicate is not one task's work
+    picks = spark.range(resamples * total).select(F.floor(F.col("id") / max(total, 1)).alias("replicate"), (F.col("id") % max(total, 1)).alias("position"))
+    drawn = picks.select("replicate", F.pmod(hashed, F.lit(max(total, 1))).alias("d")).groupBy("replicate", "d").agg(F.count("*").alias("times"))
     rows = drawn.join(numbered, "d").join(means, "document_id")
     return rows.groupBy("replicate", "method").agg((F.sum(F.col("m") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("nll"))
 

@@ -370,8 +370,8 @@ compacted as (select row_index, document_id, text, trim(regexp_replace(text, '[{
 sets as (select row_index, length(text) n, list_distinct(list_transform(range(1, length(k) - 3), lambda i: substr(k, i, 5))) g from compacted),
 each as (select row_index, len(g) size, unnest(g) g from sets),
 held as (select g, count(*) df from each group by g),
-rare as (select row_index, g from (select e.row_index, e.size, e.g, row_number() over (partition by e.row_index order by h.df, e.g) k from each e join held h using (g)) where k <= size - ceil(0.8 * size) + 1),
-close_ as (select distinct a.row_index l, b.row_index r from rare a join rare b on a.g = b.g and a.row_index < b.row_index),
+rare as (select row_index, size, g from (select e.row_index, e.size, e.g, row_number() over (partition by e.row_index order by h.df, e.g) k from each e join held h using (g)) where k <= size - ceil(0.8 * size) + 1),
+close_ as (select distinct a.row_index l, b.row_index r from rare a join rare b on a.g = b.g and a.row_index < b.row_index and least(a.size, b.size) >= 0.8 * greatest(a.size, b.size)),
 {edges_sql(LOW, 'close_')}"""
 
 

@@ -60,9 +60,9 @@ def query(sql: str | None = None):
 def scores(s, d) -> DataFrame:
     """method, seed, document_id, token_count, nll_sum for the test documents."""
     docs = counts(s, d).where("split = 'test' and token_count > 1").select("document_id", "token_count")
-    runs = s.createDataFrame([(i, m, x) for i, m in enumerate(tables.METHODS) for x in tables.SEEDS], "mi int, method string, seed int")
+    runs = F.explode(F.array(*[F.struct(F.lit(i).alias("mi"), F.lit(m).alias("method"), F.lit(x).alias("seed")) for i, m in enumerate(tables.METHODS) for x in tables.SEEDS])).alias("run")
     u = F.conv(F.substring(F.md5(F.concat_ws(":", "method", "seed", "document_id")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    rows = docs.crossJoin(F.broadcast(runs))  # the 25 runs of the matrix, for each document
+    rows = docs.select("*", runs).select("document_id", "token_count", "run.*")  # the 25 runs of the matrix, for each document
     return rows.select("method", "seed", "document_id", "token_count", (F.col("token_count") * (F.lit(5.0) + F.lit(0.02) * F.col("mi") + F.lit(0.2) * u)).alias("nll_sum"))
 
 
@@ -184,5 +184,5 @@ def name_seeds(s, d):
 select milestone, methods, (select count(distinct methods) > 1 from led) changes from led""")
 def leading_methods(s, d):
     rows = evaluation.learning(_learning(s, d), "milestone").where("lowest").groupBy("milestone").agg(F.array_join(F.array_sort(F.collect_list("method")), ",").alias("methods"))
-    changes = rows.agg((F.count_distinct("methods") > 1).alias("changes"))
-    return rows.crossJoin(F.broadcast(changes))  # one row
+    every = F.collect_set("methods").over(evaluation.Window.partitionBy(F.lit(0)))  # one row for each milestone
+    return rows.select("*", (F.size(every) > 1).alias("changes"))
