@@ -292,12 +292,12 @@ def _passages(model: Model):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
     """The model, from at most ``sample`` labelled documents of each language, those with the least hashes of their ids.
 
-    Labels are counted first, so that one scan brings about three samples of each language, however many rows there are."""
+    Labels are counted first, so that one scan brings about two samples of each language, however many rows there are."""
     label = language_of(F.col(label_col)).alias("label")
     have = {r.label: r.n for r in docs.select(label).where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not have:
         return Model([], np.zeros(0, np.int64))
-    most = {lang: (1 << 63) * (2 * min(1.0, 3 * sample / n) - 1) for lang, n in have.items()}
+    most = {lang: (1 << 63) * (2 * min(1.0, 2 * sample / n) - 1) for lang, n in have.items()}
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), label)
     rows = rows.where("text is not null and label is not null and length(text) >= 50").withColumn("h", F.xxhash64("id", F.lit(5)))
     near = F.lit(False)

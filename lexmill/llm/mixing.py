@@ -143,8 +143,8 @@ def mix(counts: DataFrame, targets: DataFrame, settings: DataFrame | None = None
     chosen = stages.put(chosen.join(F.broadcast(number.select("gi", "source_group")), "gi").select("document_id", "source_group", "source", "token_count", "uses", "tokens_used"))
     got = chosen.groupBy("source_group").agg(F.count("*").alias("records"), F.max("uses").alias("most_uses"), F.sum("tokens_used").alias("tokens_used"))
     goal = spark.createDataFrame([(r.source_group, float(s), int(r.repeats), int(t)) for r, s, t in zip(goals, share, tokens)], "source_group string, target_share double, max_repeats int, tokens_available bigint")
-    everything = got.agg(F.sum("tokens_used").alias("all_tokens"))
-    shares = goal.join(got, "source_group", "left").crossJoin(F.broadcast(everything))  # one row
-    shares = shares.select("source_group", "target_share", "max_repeats", "tokens_available", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), (F.coalesce("tokens_used", F.lit(0)) / F.col("all_tokens")).alias("actual_share"))
+    everything = chosen.agg(F.sum("tokens_used")).first()[0] or 0
+    shares = goal.join(got, "source_group", "left")
+    shares = shares.select("source_group", "target_share", "max_repeats", "tokens_available", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), (F.coalesce("tokens_used", F.lit(0)) / F.lit(max(everything, 1))).alias("actual_share"))
     named = drawn.join(F.broadcast(number), "gi").select("shard", "source_group", "slot", "block", "epoch")
     return Mix(chosen, named, shares)
