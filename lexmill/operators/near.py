@@ -72,10 +72,13 @@ def exact_edges(docs: DataFrame, threshold: float) -> DataFrame:
     sized = each.groupBy("doc").agg(F.count("*").alias("n"))
     order = Window.partitionBy("doc").orderBy("df", "s")
     rare = each.join(held, "s").join(sized, "doc").withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
-    rare = stages.put(rare.select("doc", "s"))
+    rare = stages.put(rare.select(F.struct("doc", "n", "k").alias("item"), "s"))
     common = rare.groupBy("s").agg(F.count("*").alias("size")).where("size > 1")
-    pairs = block_pairs(rare.join(common, "s"), "s", "doc", "size").distinct()
-    return verified(pairs, docs, threshold)
+    met = block_pairs(rare.join(common, "s"), "s", "item", "size")
+    # sizes must agree, and at the first shingle in common enough must be left on both sides
+    sizes = F.least("l.n", "r.n") >= threshold * F.greatest("l.n", "r.n")
+    left = F.least(F.col("l.n") - F.col("l.k"), F.col("r.n") - F.col("r.k")) + 1 >= threshold / (1 + threshold) * (F.col("l.n") + F.col("r.n")) - 1e-6
+    return verified(met.where(sizes & left).select(F.col("l.doc").alias("l"), F.col("r.doc").alias("r")).distinct(), docs, threshold)
 
 
 def recall(exact: DataFrame, candidate_pairs: DataFrame, levels=(0.80, 0.85, 0.90, 0.95)) -> DataFrame:
