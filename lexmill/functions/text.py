@@ -31,6 +31,10 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
 
 
+# declared so that no filter on what follows is moved below it, which would normalize every text twice
+nfc = nfc.asNondeterministic()
+
+
 def normalized(text: Column) -> dict[str, Column]:
     """Steps of normalization by name, each on the one before: n1 NFC, n2 line feeds, n3 no controls, n4 single spaces and
     stripped lines, n5 at most one blank line, text without outer space. Null is taken as empty. Chain them with withColumn."""
