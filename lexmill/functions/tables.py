@@ -51,7 +51,7 @@ def alibi(spark: SparkSession, heads: int, length: int) -> DataFrame:
 
 def run_matrix(spark: SparkSession) -> DataFrame:
     runs = spark.createDataFrame([(m, s) for m in METHODS for s in SEEDS], "method string, seed int")
-    return runs.select("method", "seed", F.format_string("p31az-%s-s%d-t50m-c512-v16k", "method", "seed").alias("run_id"))
+    return runs.select("method", "seed", F.format_string("run-%s-s%d-t50m-c512-v16k", "method", "seed").alias("run_id"))
 
 
 def benchmark_candidates(spark: SparkSession, batch: int = 65_536, length: int = 512, most: int = 256) -> DataFrame:

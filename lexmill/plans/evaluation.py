@@ -124,7 +124,7 @@ def holm_adjust(s, d):
     return evaluation.holm_adjusted(tests, "p", "i").select("i", "p", F.round("p_holm", 9).alias("p_holm"))
 
 
-@query(f"with {RUNS} select \"method\", seed, format('p31az-{{}}-s{{}}-t50m-c512-v16k', \"method\", seed) run_id from runs")
+@query(f"with {RUNS} select \"method\", seed, format('run-{{}}-s{{}}-t50m-c512-v16k', \"method\", seed) run_id from runs")
 def run_matrix(s, d):
     return tables.run_matrix(s)
 
