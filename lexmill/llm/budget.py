@@ -36,7 +36,7 @@ def document_tokens(docs: DataFrame, counter, id_col: str = "doc_id", text_col:
 
 
 def budget(docs: DataFrame, counter, counts: DataFrame) -> DataFrame:
-    """source, lang, domain, split, documents, tokens: totals of each slice, and by grouping level the totals of
+    """source, lang, domain, split, documents, tokens, token_count (with one end mark a document): totals of each slice, and by grouping level the totals of
     each source, language, domain and split alone and of all (columns not in the level are '*')."""
     tokens = document_tokens(docs, counter)
     own = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(
@@ -53,4 +53,4 @@ def budget(docs: DataFrame, counter, counts: DataFrame) -> DataFrame:
         part = fine.groupBy(*level).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         part = part.select(*[F.col(n) if n in level else F.lit("*").alias(n) for n in names], "documents", "tokens").where("documents is not null")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumn("token_count", F.col("tokens") + F.col("documents"))

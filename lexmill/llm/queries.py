@@ -71,7 +71,8 @@ def p5_budget(s, d):
 
 
 def p5_documents(s, d):
-    return budget.document_tokens(texts(s, d), piece_counter(table(s, d, "tokenizer_pieces")))
+    tokens = budget.document_tokens(texts(s, d), piece_counter(table(s, d, "tokenizer_pieces")))
+    return tokens.select(F.col("id").alias("doc_id"), "tokens", (F.col("tokens") + 1).alias("token_count"))  # with the end mark, as token_counts has it
 
 
 def p6_found(s, d):
