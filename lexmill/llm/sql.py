@@ -22,6 +22,19 @@ keys as (
 )
 """
 
+NEAR = r"""
+with d as (select doc_id, array_to_string(list_transform(string_split(text, chr(0)), lambda x: nfc_normalize(x)), chr(0)) t from documents where text is not null),
+c as (select doc_id, regexp_replace(t, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g') c
+      from d where length(regexp_replace(t, '[^\p{L}]', '', 'g')) >= 50),
+s as (select doc_id, list_distinct(list_transform(range(1, length(c) - 3), lambda i: substr(c, i, 5))) g from c),
+u as (select doc_id, len(g) n, unnest(g) g from s),
+f as (select g, count(*) df from u group by g),
+o as (select u.doc_id, u.n, u.g, row_number() over (partition by u.doc_id order by f.df, u.g) k from u join f using (g)),
+p as (select doc_id, n, g from o where k <= n - ceil(0.85 * n) + 1),
+x as (select distinct a.doc_id l, b.doc_id r from p a join p b on a.g = b.g and a.doc_id < b.doc_id and least(a.n, b.n) >= 0.85 * greatest(a.n, b.n)),
+j as (select x.l, x.r, len(a.g) na, len(b.g) nb, len(list_intersect(a.g, b.g)) m from x join s a on a.doc_id = x.l join s b on b.doc_id = x.r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -38,18 +51,16 @@ with recursive e as (
 r(v, l) as (select a, a from e union select e.b, r.l from r join e on e.a = r.v where r.l < e.b)
 select v rowid, min(l) group_rowid from r group by v
 """,
-        "p4_found": r"""
-with d as (select doc_id, array_to_string(list_transform(string_split(text, chr(0)), lambda x: nfc_normalize(x)), chr(0)) t from documents where text is not null),
-c as (select doc_id, regexp_replace(t, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g') c
-      from d where length(regexp_replace(t, '[^\p{L}]', '', 'g')) >= 50),
-s as (select doc_id, list_distinct(list_transform(range(1, length(c) - 3), lambda i: substr(c, i, 5))) g from c),
-u as (select doc_id, len(g) n, unnest(g) g from s),
-f as (select g, count(*) df from u group by g),
-o as (select u.doc_id, u.n, u.g, row_number() over (partition by u.doc_id order by f.df, u.g) k from u join f using (g)),
-p as (select doc_id, n, g from o where k <= n - ceil(0.85 * n) + 1),
-x as (select distinct a.doc_id l, b.doc_id r from p a join p b on a.g = b.g and a.doc_id < b.doc_id and least(a.n, b.n) >= 0.85 * greatest(a.n, b.n)),
-j as (select x.l, x.r, len(a.g) na, len(b.g) nb, len(list_intersect(a.g, b.g)) m from x join s a on a.doc_id = x.l join s b on b.doc_id = x.r)
-select l left_doc_id, r right_doc_id from j where m / (na + nb - m) >= 0.85
+        "p4_found": f"{NEAR} select l left_doc_id, r right_doc_id from j where m / (na + nb - m) >= 0.85",
+        "p4_classes": f"""
+{NEAR},
+k as (select doc_id, min(doc_id) over (partition by c) class_id, count(*) over (partition by c) copies from c),
+q as (
+    select distinct least(a.class_id, b.class_id) x, greatest(a.class_id, b.class_id) y from j join k a on a.doc_id = l join k b on b.doc_id = r
+    where m / (na + nb - m) >= 0.85 and a.class_id <> b.class_id
+),
+n as (select v, count(*) links from (select x v from q union all select y from q) group by v)
+select k.doc_id id, class_id, copies, coalesce(links, 0) links from k left join n on n.v = class_id
 """,
         "p6_found": f"""
 with {KEYS},
