@@ -124,7 +124,9 @@ PIECES = 1_000_000
 
 def piece_counter(pieces: DataFrame) -> PieceCounter:
     """A counter of a table piece_id, piece, score, in which 0 is unknown and 1 the end mark."""
-    rows = pieces.where("piece is not null and score is not null").orderBy("piece_id").limit(PIECES).select("piece_id", "piece", "score").collect()
+    rows = pieces.where("piece is not null and score is not null").orderBy("piece_id").limit(PIECES + 1).select("piece_id", "piece", "score").collect()
+    if len(rows) > PIECES:
+        raise ValueError(f"a vocabulary has at most {PIECES} pieces")
     unknown = next((i for i, r in enumerate(rows) if r.piece_id == 0), 0)
     return PieceCounter([("" if r.piece_id == 1 else r.piece, r.score) for r in rows], unknown)
 
