@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.records import latest, spelling
-from lexmill.session import Stages
+from lexmill.session import Stages, broadcast_if
 
 BLOCK, SLOTS, RANGES, SEED = 1024, 1024, 1024, 2026
 #: Above this many slots a half is split by exact proportion; numpy draws below 10^9 only.
 DRAWN = 500_000_000
+#: Rows of source settings that may be broadcast; more are shuffled.
+SMALL = 10_000
 
 
 def _permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -94,8 +96,8 @@ def mix(counts: DataFrame, targets: DataFrame, settings: DataFrame | None = None
     number = spark.createDataFrame([(i, r.g, r.source_group) for i, r in enumerate(goals)], "gi int, g string, source_group string")
     records = latest(counts).where("token_count > 0").select("document_id", "token_count", spelling(F.col("source")).alias("source"), spelling(F.col("source_group")).alias("g"))
     if settings is not None:
-        known = settings.groupBy(spelling(F.col("source")).alias("source")).agg(F.min(spelling(F.col("source_group"))).alias("by_source"))
-        records = records.join(F.broadcast(known.where("source is not null").limit(100_000)), "source", "left").withColumn("g", F.coalesce("g", "by_source")).drop("by_source")
+        known = settings.groupBy(spelling(F.col("source")).alias("source")).agg(F.min(spelling(F.col("source_group"))).alias("by_source")).where("source is not null")
+        records = records.join(broadcast_if(known, known.count(), SMALL), "source", "left").withColumn("g", F.coalesce("g", "by_source")).drop("by_source")
     placed = records.join(F.broadcast(number), "g").select("document_id", "token_count", "source", "gi", F.xxhash64("document_id", F.lit(seed)).alias("h"))
     placed = stages.put(placed.withColumn("range", F.shiftrightunsigned("h", 54)))
     sums = placed.groupBy("gi", "range").agg(F.sum("token_count").alias("n"))
