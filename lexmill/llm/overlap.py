@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm import arrays as A
@@ -33,6 +33,8 @@ PARTS = 64
 MOST_PAIRS = 10_000_000
 #: Rows of huge features that may be broadcast; more are shuffled.
 SMALL = 10_000
+#: Features of one record up to which its pairs are counted by subsets of them.
+WIDE = 4
 WORDS = 5
 CONTAINED = 0.8
 
@@ -136,11 +138,54 @@ def contained_texts(records: DataFrame, share: float = CONTAINED) -> DataFrame:
     return near.join(e, "e").join(t, "t").select(F.col("e").alias("eval_id"), F.col("t").alias("train_id"), F.col("n").alias("shared"), "eval_grams", "containment", "eval_copies", "train_copies")
 
 
-def report(manifests: DataFrame) -> DataFrame:
-    """split, source, pairs, records: overlaps of each evaluation split and source with training."""
+def _subsets(features: str) -> Column:
+    """All non-empty subsets of a sorted array of features."""
+    every = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size(features)) - 1).cast("int"))
+    return F.transform(every, lambda m: F.filter(features, lambda _, i: F.getbit(m, i) == 1))
+
+
+def _shared_features(features: DataFrame, stages: Stages) -> DataFrame:
+    """id, e_features, t_features: the features that each record has as evaluation and as training record, of those that both sides
+    have, sorted; found: whether another record is met."""
+    is_train = F.col("split") == "train"
+    rows = features.select("id", is_train.alias("train"), "feature")
+    # repeated rows count once, here and below; a feature's records are counted only as none, one or more of each side
+    tally = rows.groupBy("feature").agg(F.count("*").alias("size"), F.min(F.when(F.col("train"), F.col("id"))).alias("t0"), F.max(F.when(F.col("train"), F.col("id"))).alias("t1"), F.count_if(~F.col("train")).alias("ne"))
+    both = stages.put(tally.where("t0 is not null and ne > 0").select("feature", "size", (F.col("t0") < F.col("t1")).alias("several")))
+    total = both.agg(F.sum("size")).first()[0] or 0
+    hot = F.broadcast(both.where(F.col("size") > F.greatest(F.lit(1000), F.lit(HOT_SHARE * total))).select("feature", F.lit(PARTS).alias("parts")))
+    left = rows.join(hot, "feature", "left").select("id", "train", "feature", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    right = both.join(hot, "feature", "left").select("feature", "several", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    met = left.join(right, ["feature", "part"])
+    e, t = (F.sort_array(F.collect_set(F.when(side, F.col("feature")))) for side in (~F.col("train"), F.col("train")))
+    many = F.collect_set(F.when(F.col("several"), F.col("feature")))
+    sets = met.groupBy("id").agg(e.alias("e_features"), t.alias("t_features"), many.alias("many"))
+    found = F.exists("e_features", lambda f: F.array_contains("many", f) | ~F.array_contains("t_features", f))
+    return stages.put(sets.select("id", "e_features", "t_features", found.alias("found")))
+
+
+def report(manifests: DataFrame, wide: int = WIDE) -> DataFrame:
+    """split, source, pairs, records: overlaps of each evaluation split and source with training.
+
+    Pairs are counted and not made: an evaluation record meets as many training records as hold one of its features or another, less
+    those that hold both, and so on over the subsets of its features, less itself. Only pairs with a record of more than ``wide``
+    features (a record has two, unless its rows contradict each other) are made one by one."""
     from lexmill.llm.records import spelling
 
-    found = hits(identities(manifests))
-    own = manifests.select(F.col("document_id").alias("e"), split_name(F.col("split")).alias("split"), spelling(F.col("source")).alias("source"))
-    own = own.where("split <> 'train'").groupBy("e", "split").agg(F.min("source").alias("source"))
-    return found.join(own, "e").groupBy("split", "source").agg(F.count("*").alias("pairs"), F.count_distinct("e").alias("records"))
+    stages = Stages(manifests.sparkSession)
+    ids = _shared_features(identities(manifests), stages)
+    own = manifests.select(F.col("document_id").alias("id"), split_name(F.col("split")).alias("split"), spelling(F.col("source")).alias("source"))
+    own = own.where("split <> 'train'").groupBy("id", "split").agg(F.min("source").alias("source"))
+    records = stages.put(ids.where("size(e_features) > 0").join(own, "id"))
+    wide_e, wide_t = F.size("e_features") > wide, F.size("t_features") > wide
+    holders = ids.where(~wide_t & (F.size("t_features") > 0)).select(F.explode(_subsets("t_features")).alias("subset")).groupBy("subset").agg(F.count("*").alias("nt"))
+    asking = records.where(~wide_e).select("split", "source", F.explode(_subsets("e_features")).alias("subset")).groupBy("split", "source", "subset").agg(F.count("*").alias("ne"))
+    sign = F.when(F.size("subset") % 2 == 1, F.lit(1)).otherwise(F.lit(-1))
+    parts = asking.join(holders, "subset").select("split", "source", (sign * F.col("ne") * F.col("nt")).alias("pairs"), F.lit(0).alias("records"))
+    itself = ~wide_e & ~wide_t & F.arrays_overlap("e_features", "t_features")
+    parts = parts.unionByName(records.select("split", "source", (-itself.cast("bigint")).alias("pairs"), F.col("found").cast("int").alias("records")))
+    if ids.where(wide_e | wide_t).limit(1).count():
+        of = lambda where, side: ids.where(where).select("id", F.lit("train" if side == "t" else "test").alias("split"), F.explode(f"{side}_features").alias("feature"))
+        made = hits(of(wide_e, "e").unionByName(of(F.lit(True), "t")), most_pairs=None).unionByName(hits(of(~wide_e, "e").unionByName(of(wide_t, "t")), most_pairs=None))
+        parts = parts.unionByName(made.join(own, made["e"] == own["id"]).select("split", "source", F.lit(1).cast("bigint").alias("pairs"), F.lit(0).alias("records")))
+    return parts.groupBy("split", "source").agg(F.sum("pairs").alias("pairs"), F.sum("records").alias("records")).where("records > 0")

@@ -252,6 +252,52 @@ def test_overlap_huge_feature_by_representatives(spark):
     assert got == {(f"e{i}", "t0") for i in range(20)} | {("e0", f"t{i}") for i in range(60)} | {("e1", "t5")}
 
 
+def clustered(rows):
+    """Rows of manifests from (id, split, source, number of the hash, number of the cluster)."""
+    name = lambda x: None if x is None else f"{x:08x}" * 8
+    return [(i, split, source, name(h), name(c)) for i, split, source, h, c in rows]
+
+
+MANIFEST = "document_id string, split string, source string, canonical_text_hash string, duplicate_cluster_id string"
+
+
+def brute_overlap(rows):
+    """The pairs (evaluation, training) of rows as in ``clustered``."""
+    side = [(i, split == "train", {("h", h), ("c", c)} - {("h", None), ("c", None)}) for i, split, _, h, c in rows]
+    return {(e, t) for e, trained, f in side if not trained for t, train, g in side if train and e != t and f & g}
+
+
+def brute_report(rows):
+    own, out = {}, {}
+    for i, split, source, _, _ in rows:
+        if split != "train":
+            own[i, split] = min(source, own.get((i, split), source))
+    for e, _ in (pairs := brute_overlap(rows)):
+        for (i, split), source in own.items():
+            if i == e:
+                out[split, source] = out.get((split, source), 0) + 1
+    met = {e for e, _ in pairs}
+    return {k: (n, sum(1 for (i, split), source in own.items() if i in met and (split, source) == k)) for k, n in out.items()}
+
+
+def test_report_counts_all_pairs_of_a_huge_cluster(spark):
+    rows = [(f"t{i}", "train", "web", None, 1) for i in range(5000)]
+    rows += [(f"e{i}", ("test", "validation")[i % 2], ("web", "news", "law")[i % 3], None, 1) for i in range(2100)]
+    got = overlap.report(spark.createDataFrame(clustered(rows), MANIFEST)).collect()
+    assert {(r.split, r.source): (r.pairs, r.records) for r in got} == {(s, x): (350 * 5000, 350) for s in ("test", "validation") for x in ("web", "news", "law")}
+
+
+@pytest.mark.parametrize("wide", [4, 1, 0])
+def test_report_same_as_brute_force(spark, wide):
+    """Shared hashes within clusters, ids on both sides, in two splits, with contradicting rows, and repeated rows."""
+    rnd = random.Random(21)
+    rows = [(f"d{rnd.randrange(250)}", rnd.choice(["train", "train", "test", "validation"]), rnd.choice(["web", "news"]), rnd.choice([None, *range(60)]), rnd.choice([None, *range(30)])) for _ in range(300)]
+    rows += [("m", "train", "web", h, 2) for h in range(7)] + [("n", "test", "law", h, 3) for h in range(7)] + [("alone", s, "law", 900, 900) for s in ("train", "test")] + rows[:50]
+    got = overlap.report(spark.createDataFrame(clustered(rows), MANIFEST), wide=wide).collect()
+    assert len(got) == len({(r.split, r.source) for r in got})
+    assert {(r.split, r.source): (r.pairs, r.records) for r in got} == brute_report(rows)
+
+
 def test_large_class_is_a_star(spark):
     rnd = random.Random(5)
     base = words(rnd, 60)
