@@ -30,7 +30,6 @@ from lexmill.session import Stages, broadcast_if, hex64
 #: A feature of more than this share of a side's features is split into parts.
 HOT_SHARE = 0.001
 PARTS = 64
-MOST_PAIRS = 10_000_000
 #: Rows of huge features that may be broadcast; more are shuffled.
 SMALL = 10_000
 #: Features of one record up to which its pairs are counted by subsets of them.
@@ -74,11 +73,11 @@ def word_grams(records: DataFrame) -> DataFrame:
     return records.where("id is not null and split is not null and text is not null").select("id", "split", "text").mapInArrow(_grams, "id string, split string, feature bigint, total bigint")
 
 
-def hits(features: DataFrame, most_pairs: int | None = MOST_PAIRS) -> DataFrame:
+def hits(features: DataFrame, most_pairs: int | None = None) -> DataFrame:
     """e, t, n: evaluation record, training record, number of features in both.
 
-    A feature that would make more than ``most_pairs`` pairs (a huge group of copies) is given by representatives: each of its
-    evaluation records with the least training record, and the least evaluation record with each training record. With None every pair is made."""
+    Every pair is made, unless the caller names ``most_pairs``: then a feature that would make more is given by representatives, each of
+    its evaluation records with the least training record, and the least evaluation record with each training record. No query does."""
     stages = Stages(features.sparkSession)
     train = features.where("split = 'train'").select(F.col("id").alias("t"), "feature")
     test = features.where("split <> 'train'").select(F.col("id").alias("e"), "feature")
@@ -130,7 +129,7 @@ def contained_texts(records: DataFrame, share: float = CONTAINED) -> DataFrame:
     rarest = Window.partitionBy("e").orderBy(F.coalesce("nt", F.lit(0)), "feature")
     probes = test.join(often, "feature", "left").withColumn("k", F.row_number().over(rarest)).where((F.col("k") <= F.col("eval_grams") - F.ceil(share * F.col("eval_grams")) + 1) & F.col("nt").isNotNull())
     asked = probes.select(F.col("e").alias("id"), F.lit("evaluation").alias("split"), "feature").unionByName(train.select(F.col("t").alias("id"), F.lit("train").alias("split"), "feature"))
-    pairs = stages.put(hits(asked, most_pairs=None).select("e", "t"))
+    pairs = stages.put(hits(asked).select("e", "t"))
     found = pairs.join(test, "e").join(train, ["t", "feature"]).groupBy("e", "t").agg(F.count("*").alias("n"), F.first("eval_grams").alias("eval_grams"))
     near = found.withColumn("containment", F.col("n") / F.col("eval_grams")).where(F.col("containment") >= share)
     e = reps.where("side <> 'train'").select(F.col("id").alias("e"), F.col("copies").alias("eval_copies"))
@@ -186,6 +185,6 @@ def report(manifests: DataFrame, wide: int = WIDE) -> DataFrame:
     parts = parts.unionByName(records.select("split", "source", (-itself.cast("bigint")).alias("pairs"), F.col("found").cast("int").alias("records")))
     if ids.where(wide_e | wide_t).limit(1).count():
         of = lambda where, side: ids.where(where).select("id", F.lit("train" if side == "t" else "test").alias("split"), F.explode(f"{side}_features").alias("feature"))
-        made = hits(of(wide_e, "e").unionByName(of(F.lit(True), "t")), most_pairs=None).unionByName(hits(of(~wide_e, "e").unionByName(of(wide_t, "t")), most_pairs=None))
+        made = hits(of(wide_e, "e").unionByName(of(F.lit(True), "t"))).unionByName(hits(of(~wide_e, "e").unionByName(of(wide_t, "t"))))
         parts = parts.unionByName(made.join(own, made["e"] == own["id"]).select("split", "source", F.lit(1).cast("bigint").alias("pairs"), F.lit(0).alias("records")))
     return parts.groupBy("split", "source").agg(F.sum("pairs").alias("pairs"), F.sum("records").alias("records")).where("records > 0")

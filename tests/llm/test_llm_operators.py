@@ -298,6 +298,14 @@ def test_report_same_as_brute_force(spark, wide):
     assert {(r.split, r.source): (r.pairs, r.records) for r in got} == brute_report(rows)
 
 
+def test_same_records_gives_all_pairs_of_a_huge_cluster(spark):
+    rows = [(f"t{i:04d}", "train", "web", i, 1) for i in range(5000)] + [(f"e{i:04d}", "test", "web", 10_000 + i, 1) for i in range(2100)]
+    got = overlap.same_records(spark.createDataFrame(clustered(rows), MANIFEST))
+    e, t = (F.substring(f"{side}_document_id", 2, 4).cast("int") for side in ("left", "right"))
+    crossing = F.col("left_document_id").startswith("e") & F.col("right_document_id").startswith("t")
+    assert got.agg(F.count("*"), F.count_if(crossing), F.count_distinct(e * 5000 + t)).first() == (10_500_000,) * 3
+
+
 def test_large_class_is_a_star(spark):
     rnd = random.Random(5)
     base = words(rnd, 60)
