@@ -5,10 +5,21 @@ Score tables are long: method, seed, milestone, document_id, nll_sum, token_coun
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.draws import times
 from lexmill.operators.running import hex_prefix, row_index
+from lexmill.session import Stages, ship
+
+#: Documents whose means may be broadcast for the bootstrap; more are joined.
+FEW = 200_000
+#: Draws of a task.
+DRAWS = 10_000_000
 
 
 def windows(docs: DataFrame, n: str = "token_count", context: int = 512, stride: int = 256) -> DataFrame:
@@ -65,20 +76,46 @@ def learning(summary: DataFrame, first: str) -> DataFrame:
     return ranked.withColumn("lowest", F.rank().over(Window.partitionBy("milestone").orderBy("mean_nll")) == 1).withColumn("ppl", F.exp("mean_nll"))
 
 
-def draws(scores: DataFrame, resamples: int, seed: int = 5) -> DataFrame:
+def draws(scores: DataFrame, resamples: int, seed: int = 5, few: int = FEW) -> DataFrame:
     """Paired bootstrap over documents: replicate, method, nll. Seeds are averaged first (they share the denominators);
     every method has the same draws. Replicate r draws document number digest(seed, r, position) mod n, as often as there are
-    documents: a pure function of its arguments, so that batches, partitions and engines agree."""
-    means = scores.groupBy("method", "document_id").agg(F.avg("nll_sum").alias("m"), F.max("token_count").alias("n"))
-    numbered = row_index(scores.select("document_id").distinct(), [], ["document_id"], "d", hex_prefix("document_id"))
-    total = numbered.count()
+    documents: a pure function of its arguments, so that batches, partitions and engines agree. Up to ``few`` documents, their
+    means are broadcast and a replicate is made where it is dealt to; beyond, draws are joined with the means."""
     spark = scores.sparkSession
+    stages = Stages(spark)
+    means = stages.put(scores.groupBy("method", "document_id").agg(F.avg("nll_sum").alias("m"), F.max("token_count").alias("n")))
+    numbered = stages.put(row_index(means.select("document_id").distinct(), [], ["document_id"], "d", hex_prefix("document_id")))
+    total = numbered.count()
+    if 0 < total <= few:
+        return stages.put(_drawn_here(means.join(numbered, "document_id"), total, resamples, seed))
     hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "replicate", "position")), 1, 12), 16, 10).cast("bigint")
     # one row for each draw: positions are dealt out, so that a replicate is not one task's work
     picks = spark.range(resamples * total).select(F.floor(F.col("id") / max(total, 1)).alias("replicate"), (F.col("id") % max(total, 1)).alias("position"))
     drawn = picks.select("replicate", F.pmod(hashed, F.lit(max(total, 1))).alias("d")).groupBy("replicate", "d").agg(F.count("*").alias("times"))
     rows = drawn.join(numbered, "d").join(means, "document_id")
-    return rows.groupBy("replicate", "method").agg((F.sum(F.col("m") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("nll"))
+    return stages.put(rows.groupBy("replicate", "method").agg((F.sum(F.col("m") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("nll")))
+
+
+def _drawn_here(means: DataFrame, total: int, resamples: int, seed: int) -> DataFrame:
+    """replicate, method, nll from means (method, d, m, n) of ``total`` documents that fit a broadcast."""
+    spark = means.sparkSession
+    ship(spark)
+    rows = means.select("method", "d", F.col("m").cast("double"), F.col("n").cast("double")).toArrow()
+    methods = sorted(set(rows["method"].to_pylist()))
+    sums = np.zeros((total, 2 * len(methods)))
+    at, d = np.searchsorted(methods, rows["method"].to_pylist()), rows["d"].to_numpy()
+    sums[d, at], sums[d, at + len(methods)] = (np.nan_to_num(rows[x].to_numpy()) for x in "mn")
+    shared = spark.sparkContext.broadcast(sums)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for replicate in batch.column(0).to_pylist():
+                m, n = np.split(times(seed, replicate, total) @ shared.value, 2)
+                there = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array([replicate] * int(there.sum()), pa.int64()), pa.array([x for x, y in zip(methods, there) if y], pa.string()), pa.array(m[there] / n[there])], names=["replicate", "method", "nll"])
+
+    parts = min(resamples, max(spark.sparkContext.defaultParallelism, resamples * total // DRAWS))
+    return spark.range(0, resamples, 1, max(parts, 1)).mapInArrow(made, "replicate bigint, method string, nll double")
 
 
 def compare(by_seed: DataFrame, drawn: DataFrame, practical: float = 0.01, consistent: int = 4) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.functions import fingerprint, ids, tables, text
+from lexmill.functions import draws, fingerprint, ids, tables, text
 from lexmill.operators import evaluation, ingest, manifest, near, profile, running, subset
 from lexmill.operators.components import components
 from lexmill.operators.pairs import block_pairs
@@ -208,6 +208,39 @@ def test_holm_and_ranks(spark):
     assert (r.delta, r.ci_low, r.ci_high) == (-0.1, -0.2, -0.05)
 
 
+@pytest.mark.parametrize("few", [evaluation.FEW, 0])
+def test_bootstrap_draws_same_as_brute_force(spark, few):
+    """Methods on unlike documents, two seeds; the draws on each executor and the joined ones."""
+    rnd = random.Random(13)
+    docs = {hashlib.sha256(str(i).encode()).hexdigest(): rnd.randrange(2, 900) for i in range(123)}
+    scores = [(m, s, d, n, n * rnd.uniform(4, 6)) for m in ("x", "y", "z") for s in (1, 2) for d, n in docs.items() if m != "z" or n > 100]
+    means = {(m, d): sum(r[4] for r in scores if (r[0], r[2]) == (m, d)) / 2 for m, _, d, _, _ in scores}
+    names, want = sorted(docs), {}
+    for replicate in range(12):
+        drawn = [names[int(hashlib.md5(f"5:{replicate}:{p}".encode()).hexdigest()[:12], 16) % len(names)] for p in range(len(names))]
+        for m in "xyz":
+            own = [d for d in drawn if (m, d) in means]
+            want[replicate, m] = sum(means[m, d] for d in own) / sum(docs[d] for d in own)
+    df = spark.createDataFrame(scores, "method string, seed int, document_id string, token_count bigint, nll_sum double")
+    got = {(r.replicate, r.method): r.nll for r in evaluation.draws(df, 12, few=few).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+
+
+def test_bootstrap_has_the_replicates_of_the_protocol(spark, small):
+    """10 000 in the reference's evaluation protocol; of them the least p is 1 / 10 001."""
+    from lexmill.plans.evaluation import QUERIES
+
+    assert {r.replicates for r in QUERIES["bootstrap_ci"](spark, small).collect()} == {10_000}
+    assert all(abs(r.p * 10_001 - round(r.p * 10_001)) < 0.01 for r in QUERIES["pairwise_compare"](spark, small).collect())
+
+
+def test_draws_on_odd_sizes():
+    for n in (1, 9, 10, 11, 100, 1234, 20_001):
+        for replicate in (0, 7, 10, 123, 9999):
+            drawn = [int(hashlib.md5(f"5:{replicate}:{p}".encode()).hexdigest()[:12], 16) % n for p in range(n)]
+            assert (draws.times(5, replicate, n) == np.bincount(drawn, minlength=n)).all()
+
+
 def test_schedules(spark):
     got = {r.nominal_tokens: r.overshoot for r in tables.milestones(spark).collect()}
     assert got == {5_000_000: 46_272, 10_000_000: 27_008, 20_000_000: 54_016, 50_000_000: 0}
