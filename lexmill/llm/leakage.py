@@ -7,14 +7,15 @@ partition's largest item, so that a passage of any item fits whole into a window
 item in the document becomes a resemblance of like-sized sets. ``FUNCTIONS`` minima of the three-word
 shingles of each window are compared with the items' minima: one equal minimum makes a candidate. With half
 of an item's words in the window and one in six wrong the resemblance is 0.1 at least, and a miss has
-probability 0.9^96 = 4e-5. (Five-word shingles at 0.8 would miss these cases: with every sixth word wrong,
+probability 0.9^96 = 4e-5; that holds for items that are not short. Items under ``EXACT`` words are looked up by all their
+three-word shingles, which misses none: a run of three words or more with at most one in six wrong has three right ones on
+end. Items under ``LEAST`` words are found where they stand whole: half of them, one to three words, shows no passage. (Five-word shingles at 0.8 would miss these cases: with every sixth word wrong,
 hardly a five-word shingle is left.) Candidates are verified by exact shingle containment, and then by the longest run
 in the item's order with at most one word in six wrong.
 
 Nothing is shuffled: items are a stated query set, sent out in blocks of at most ``ITEMS``, against all rows.
 
-Defined results: null and empty texts or items match nothing; items under ``LEAST`` words are left out (half
-of them shows no passage); rows without id are left out; repeated rows give a pair once for each row before
+Defined results: null and empty texts or items match nothing; rows without id are left out; repeated rows give a pair once for each row before
 the final distinct.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import arrays as A
 
-SHINGLE, FUNCTIONS, BLOCK, STEP, LEAST = 3, 96, 16, 1.5, 6
+SHINGLE, FUNCTIONS, BLOCK, STEP, LEAST, EXACT = 3, 96, 16, 1.5, 6, 32
 ITEMS = 5000
 #: A run must match this share of the item's words: between a third (no case) and 5/6 of a half (always a case).
 SHARE = 0.38
@@ -119,20 +120,29 @@ class Items:
     def __init__(self, ids: list, texts: list[str]):
         hashes, bounds = words(texts)
         order = sorted((int(bounds[i + 1] - bounds[i]), i) for i in range(len(ids)))
-        order = [x for x in order if x[0] >= LEAST]
         self.ids, self.words, self.shingles, self.parts = [], [], [], []
+        exact: dict[int, list[tuple[int, int]]] = {}
         group: list[int] = []
         for n, i in order:
+            if not n:
+                continue
             if group and n > STEP * len(self.words[group[0]]):
                 self.parts.append(group)
                 group = []
-            group.append(len(self.ids))
             own = hashes[bounds[i] : bounds[i + 1]]
+            if n < EXACT:
+                k = SHINGLE if n >= LEAST else n
+                grams = A.ngrams(own, np.array([0, n]), k)[0]
+                exact.setdefault(k, []).extend((int(g), len(self.ids)) for g in grams)
+            else:
+                group.append(len(self.ids))
             self.ids.append(ids[i])
             self.words.append(own)
             self.shingles.append(np.unique(A.ngrams(own, np.array([0, len(own)]), SHINGLE)[0]))
         if group:
             self.parts.append(group)
+        #: By number of words: the sorted strings of so many words of the short items, and each one's item.
+        self.exact = {k: (np.array([g for g, _ in sorted(rows)], np.uint64), [i for _, i in sorted(rows)]) for k, rows in exact.items()}
         self.widths = [-(-max(len(self.words[i]) for i in g) // BLOCK) + 1 for g in self.parts]
         self.minima = [[self._looked_up(g, f) for f in range(FUNCTIONS)] for g in self.parts]
 
@@ -175,6 +185,19 @@ def _candidates(items: Items, grams: np.ndarray, at: np.ndarray) -> set[tuple[in
     return found
 
 
+def _exact(items: Items, k: int, grams: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(text, item, place in the text) of every string of ``k`` words that a text has in common with a short item."""
+    values, which = items.exact[k]
+    flags = np.zeros(1 << 16, bool)
+    flags[values & np.uint64(0xFFFF)] = True
+    hit = np.flatnonzero(flags[grams & np.uint64(0xFFFF)])
+    a, b = np.searchsorted(values, grams[hit], "left"), np.searchsorted(values, grams[hit], "right")
+    for x in np.flatnonzero(b > a):
+        doc = int(np.searchsorted(at, hit[x], "right")) - 1
+        for item in which[a[x] : b[x]]:
+            yield doc, item, int(hit[x] - at[doc])
+
+
 def _shifted(low: np.ndarray, by: int, owner: np.ndarray, same: dict[int, np.ndarray]) -> np.ndarray:
     out = np.full(len(low), NONE, np.uint32)
     if by < len(low):
@@ -231,7 +254,16 @@ def _search(items: Items):
             for a, b in A.slices(texts):
                 hashes, bounds = words(texts[a:b])
                 grams, at = A.ngrams(hashes, bounds, SHINGLE)
-                for doc, item, first in _candidates(items, grams, at):
+                found = _candidates(items, grams, at) if items.parts else set()
+                for k in items.exact:
+                    strings, begins = (grams, at) if k == SHINGLE else A.ngrams(hashes, bounds, k)
+                    for doc, item, place in _exact(items, k, strings, begins):
+                        own = items.words[item]
+                        if len(own) >= LEAST:
+                            found.add((doc, item, place // BLOCK * BLOCK))
+                        else:
+                            rows[a + doc, item] = (len(own), len(own))
+                for doc, item, first in found:
                     own = items.words[item]
                     begin, end = max(0, first - len(own)), first + 3 * len(own) + BLOCK
                     shared = _shared(items.shingles[item], grams[at[doc] + begin : min(at[doc] + end, at[doc + 1])])

@@ -380,3 +380,35 @@ def test_piece_counter_memory(monkeypatch):
 
 def test_tokenizer_path_is_a_parameter():
     assert public_counter(TOKENIZERS, "byte_bpe_50k.tiktoken")(["söz"])[0] > 0
+
+
+def test_leaks_of_short_items(spark):
+    """Items of 6 to 31 words: half of an item with every sixth word wrong is found, a third is not. Shorter ones are found whole."""
+    rnd = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    rnd.shuffle(vocabulary)
+    fresh = iter(vocabulary)
+    take = lambda n: [next(fresh) for _ in range(n)]
+    items, docs, want, third = [], [], set(), []
+    for n in [*range(1, 32), 8, 12, 13, 16, 18, 24]:
+        item, i = take(n), len(items)
+        items.append((i, " ".join(item)))
+        half = -(-n // 2) if n >= leakage.LEAST else n
+        for at in {0, (n - half) // 2, n - half}:
+            run = item[at : at + half]
+            for k in range(2, len(run), 6):
+                if n >= leakage.LEAST and k // 6 < len(run) // 6:
+                    run[k] = next(fresh)
+            want.add((len(docs), i))
+            docs.append((len(docs), " ".join(take(15) + run + take(15))))
+        third.append((item, (n - 1) // 3))
+    for item, n in third:
+        docs.append((len(docs), " ".join(take(15) + item[:n] + take(15))))
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
+def test_leaks_of_tiny_items_keep_the_order(spark):
+    docs = [(0, "alti iki bir uc dord bes"), (1, "yeddi bir iki uc dord"), (2, "bir iki uc")]
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, "bir iki uc dord")], "item_id bigint, text string")).collect()
+    assert [(r.doc_id, r.matched_words, r.run_words, r.item_words) for r in got] == [(1, 4, 4, 4)]
