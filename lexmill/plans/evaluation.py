@@ -154,6 +154,20 @@ def alibi_bias(s, d):
     return tables.alibi(s, 12, 64).select("head", "distance", F.round("slope", 12).alias("slope"), F.round("bias", 12).alias("bias"))
 
 
+@query("""with p as (select unnest(range(0, 512)) pos), q as (select unnest(range(0, 128)) pair), a as (select pos, pair, pos * exp(-ln(10000.0::double) * (pair * 2) / 256) angle from p, q)
+select pos, pair * 2 dim, round(sin(angle), 9) "value" from a union all select pos, pair * 2 + 1, round(cos(angle), 9) from a""")
+def sinusoidal_table_512(s, d):
+    """The table at the reference's max_seq_len and d_model."""
+    return tables.sinusoidal(s, 512, 256).select("pos", "dim", F.round("value", 9).alias("value"))
+
+
+@query("""with h as (select unnest(range(0, 8)) head), d as (select unnest(range(0, 512)) distance), s as (select head, pow(2.0::double, -8.0 * (head + 1) / 8) slope from h)
+select head, distance, round(slope, 12) slope, round(0.0::double - slope * distance, 12) bias from s, d""")
+def alibi_bias_512(s, d):
+    """The biases at the reference's n_head and max_seq_len."""
+    return tables.alibi(s, 8, 512).select("head", "distance", F.round("slope", 12).alias("slope"), F.round("bias", 12).alias("bias"))
+
+
 @query("with m as (select unnest(range(1, 257)) micro_batch) select micro_batch, 65536 // (micro_batch * 512) accumulation from m where 65536 % (micro_batch * 512) = 0")
 def benchmark_candidates(s, d):
     return tables.benchmark_candidates(s)

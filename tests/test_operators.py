@@ -301,3 +301,11 @@ def test_stream(spark, tmp_path):
     kept = stream.documents(stream.read(spark, src, "doc_id bigint, source string, text string, crawled_at timestamp"), settings)
     stream.write(kept, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_position_tables_have_the_sizes_of_the_reference(spark, small):
+    from lexmill.plans.evaluation import QUERIES
+
+    table = QUERIES["sinusoidal_table_512"](spark, small).agg(F.count("*"), F.max("pos"), F.max("dim")).first()
+    assert tuple(table) == (512 * 256, 511, 255)
+    assert tuple(QUERIES["alibi_bias_512"](spark, small).agg(F.count("*"), F.max("head"), F.max("distance")).first()) == (8 * 512, 7, 511)
