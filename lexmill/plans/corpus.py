@@ -135,6 +135,7 @@ processed as (
 bucketed as (select *, ('0x' || substr(sha256(duplicate_cluster_id || chr(0) || '2026'), 1, 16))::ubigint % 1000 bucket from processed),
 assigned as (select *, case when bucket < 900 then 'train' when bucket < 950 then 'validation' else 'test' end split from bucketed)"""
 GRAPH = f"with recursive {UNIQUE}, {PRINTS}, {SETS}, {edges_sql(LOW)}, {CLUSTERS}"
+GRAPH_95 = f"with recursive {UNIQUE}, {PRINTS}, {SETS}, {edges_sql(0.95)}, {CLUSTERS}"
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -276,8 +277,8 @@ def near_edges_lsh(s, d):
     return _edges(s, d, 0.95)[1]
 
 
-def _members(s, d):
-    docs, edges = _edges(s, d, LOW)
+def _members(s, d, threshold=LOW):
+    docs, edges = _edges(s, d, threshold)
     edges = Stages(s).put(edges)
     return docs, edges, Stages(s).put(near.clusters(edges, docs))
 
@@ -287,6 +288,12 @@ def near_clusters(s, d):
     return _members(s, d)[2]
 
 
+@query(f"{GRAPH_95} select rowid, cluster_id, representative_rowid, removed from members")
+def near_clusters_95(s, d):
+    """Clusters at the reference's threshold."""
+    return _members(s, d, near.THRESHOLD)[2]
+
+
 @query(f"{GRAPH}, z as (select count(*) size from members group by cluster_id) select size, count(*) clusters from z group by size")
 def cluster_distribution(s, d):
     return near.distribution(_members(s, d)[2])
@@ -318,8 +325,8 @@ def largest_clusters(s, d):
     return m.where("size > 2").orderBy(F.desc("size"), "cluster_id").limit(25)
 
 
-def _processed(s, d):
-    docs, _, members = _members(s, d)
+def _processed(s, d, threshold=LOW):
+    docs, _, members = _members(s, d, threshold)
     return manifest.processed(docs, members)
 
 
@@ -329,12 +336,24 @@ def retained_manifest(s, d):
     return manifest.manifest(_processed(s, d))
 
 
+@query(f"""{GRAPH_95}, {PROCESSED} select document_id, source, source_group, duplicate_cluster_id, canonical_hash canonical_text_hash, split, raw_record_id, shard raw_shard, row_index raw_row_index,
+    row_number() over (partition by split order by document_id) - 1 processed_row from assigned""")
+def retained_manifest_95(s, d):
+    return manifest.manifest(_processed(s, d, near.THRESHOLD))
+
+
 @query(f"""{GRAPH}, {PROCESSED} select case when grouping(split) = 1 then '*' else split end split, case when grouping(source) = 1 then '*' else source end source,
     count(*) documents, sum(length(text))::bigint characters, sum({WORDS})::bigint words from assigned group by rollup(split, source)""")
 def split_summary(s, d):
     return manifest.summary(_processed(s, d))
 
 
+@query(f"""{GRAPH_95}, {PROCESSED} select case when grouping(split) = 1 then '*' else split end split, case when grouping(source) = 1 then '*' else source end source,
+    count(*) documents, sum(length(text))::bigint characters, sum({WORDS})::bigint words from assigned group by rollup(split, source)""")
+def split_summary_95(s, d):
+    return manifest.summary(_processed(s, d, near.THRESHOLD))
+
+
 @query("""with r as (select document_id, ('0x' || substr(sha256(document_id || chr(0) || '2026'), 1, 16))::ubigint % 1000 b from (select distinct document_id from manifests))
 select document_id, b::int bucket, case when b < 900 then 'train' when b < 950 then 'validation' else 'test' end split from r""")
 def split_assignment(s, d):

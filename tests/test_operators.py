@@ -309,3 +309,13 @@ def test_position_tables_have_the_sizes_of_the_reference(spark, small):
     table = QUERIES["sinusoidal_table_512"](spark, small).agg(F.count("*"), F.max("pos"), F.max("dim")).first()
     assert tuple(table) == (512 * 256, 511, 255)
     assert tuple(QUERIES["alibi_bias_512"](spark, small).agg(F.count("*"), F.max("head"), F.max("distance")).first()) == (8 * 512, 7, 511)
+
+
+def test_clusters_at_the_threshold_of_the_reference(spark):
+    """They lie inside those at 0.80."""
+    from lexmill.plans.corpus import QUERIES
+
+    low, high = ({r.rowid: r.cluster_id for r in QUERIES[name](spark, "/root/testdata/sf0.01").collect()} for name in ("near_clusters", "near_clusters_95"))
+    assert high and set(high) < set(low)
+    inside = {(c, low[r]) for r, c in high.items()}
+    assert len(inside) == len(set(high.values()))
