@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.tokens import counted
 from lexmill.llm.langid import language_of
-from lexmill.llm.records import latest, spelling, split_name
+from lexmill.operators.records import latest, spelling, split_name
 from lexmill.session import Stages, broadcast_if
 
 SMALL = 200_000

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.records import latest, spelling
+from lexmill.operators.records import latest, spelling
 from lexmill.session import Stages, broadcast_if
 
 BLOCK, SLOTS, RANGES, SEED = 1024, 1024, 1024, 2026

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import arrays as A
 from lexmill.llm.leakage import words
-from lexmill.llm.records import split_name
+from lexmill.operators.records import spelling, split_name
 from lexmill.session import Stages, broadcast_if, hex64
 
 #: A feature of more than this share of a side's features is split into parts.
@@ -169,8 +169,6 @@ def report(manifests: DataFrame, wide: int = WIDE) -> DataFrame:
     Pairs are counted and not made: an evaluation record meets as many training records as hold one of its features or another, less
     those that hold both, and so on over the subsets of its features, less itself. Only pairs with a record of more than ``wide``
     features (a record has two, unless its rows contradict each other) are made one by one."""
-    from lexmill.llm.records import spelling
-
     stages = Stages(manifests.sparkSession)
     ids = _shared_features(identities(manifests), stages)
     own = manifests.select(F.col("document_id").alias("id"), split_name(F.col("split")).alias("split"), spelling(F.col("source")).alias("source"))
