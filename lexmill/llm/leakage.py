@@ -8,12 +8,14 @@ item in the document becomes a resemblance of like-sized sets. ``FUNCTIONS`` min
 shingles of each window are compared with the items' minima: one equal minimum makes a candidate. With half
 of an item's words in the window and one in six wrong the resemblance is 0.1 at least, and a miss has
 probability 0.9^96 = 4e-5; that holds for items that are not short. Items under ``EXACT`` words are looked up by all their
-three-word shingles, which misses none: a run of three words or more with at most one in six wrong has three right ones on
-end. Items under ``LEAST`` words are found where they stand whole: half of them, one to three words, shows no passage. (Five-word shingles at 0.8 would miss these cases: with every sixth word wrong,
+three-word shingles (by all strings of half their words, if that is fewer), which misses none: a run of three words or more with at most one in
+six wrong has three right ones on end. (Five-word shingles at 0.8 would miss these cases: with every sixth word wrong,
 hardly a five-word shingle is left.) Candidates are verified by exact shingle containment, and then by the longest run
-in the item's order with at most one word in six wrong.
+in the item's order with at most one word in six wrong: a document holds an item if that run reaches over half of the item's words, wrong ones and ends included.
 
-Nothing is shuffled: items are a stated query set, sent out in blocks of at most ``ITEMS``, against all rows.
+Up to ``ITEMS`` items are a stated query set, sent to every task, and nothing is shuffled. More items are never gathered: their minima
+are an index table, the one scan of the corpus gives the minima of its windows that a bitmap of the index lets pass, both are joined, and
+the documents and items of the candidates are brought together for verification.
 
 Defined results: null and empty texts or items match nothing; rows without id are left out; repeated rows give a pair once for each row before
 the final distinct.
@@ -25,7 +27,6 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import arrays as A
+from lexmill.session import Stages, broadcast_if
 
-SHINGLE, FUNCTIONS, BLOCK, STEP, LEAST, EXACT = 3, 96, 16, 1.5, 6, 32
+SHINGLE, FUNCTIONS, BLOCK, STEP, EXACT = 3, 96, 16, 1.5, 32
+#: Items that may be sent to every task.
 ITEMS = 5000
-#: A run must match this share of the item's words: between a third (no case) and 5/6 of a half (always a case).
-SHARE = 0.38
+#: One word of a run in so many may be wrong.
 WRONG = 6
 NONE = np.uint32(0xFFFFFFFF)
 DROP = np.uint32(0xFFFFFFFF)
@@ -114,6 +116,11 @@ def _short(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).astype(np.uint32)
 
 
+def looked_up(n: int) -> int:
+    """Words of the strings by which a short item of n words is looked up: half of the item, three at most."""
+    return min(SHINGLE, -(-n // 2))
+
+
 class Items:
     """Items in size partitions, with their minima ready to be looked up. Small enough to be sent to every task."""
 
@@ -131,7 +138,7 @@ class Items:
                 group = []
             own = hashes[bounds[i] : bounds[i + 1]]
             if n < EXACT:
-                k = SHINGLE if n >= LEAST else n
+                k = looked_up(n)
                 grams = A.ngrams(own, np.array([0, n]), k)[0]
                 exact.setdefault(k, []).extend((int(g), len(self.ids)) for g in grams)
             else:
@@ -144,44 +151,47 @@ class Items:
         #: By number of words: the sorted strings of so many words of the short items, and each one's item.
         self.exact = {k: (np.array([g for g, _ in sorted(rows)], np.uint64), [i for _, i in sorted(rows)]) for k, rows in exact.items()}
         self.widths = [-(-max(len(self.words[i]) for i in g) // BLOCK) + 1 for g in self.parts]
-        self.minima = [[self._looked_up(g, f) for f in range(FUNCTIONS)] for g in self.parts]
+        self.minima = [[self._least(g, f) for f in range(FUNCTIONS)] for g in self.parts]
 
-    def _looked_up(self, group: list[int], f: int) -> tuple[np.ndarray, np.ndarray]:
+    def _least(self, group: list[int], f: int) -> tuple[np.ndarray, np.ndarray]:
         least = np.array([_function(_short(self.shingles[i]), f).min() for i in group], np.uint32)
         order = np.argsort(least, kind="stable")
         return least[order], np.array(group)[order]
 
 
-def _candidates(items: Items, grams: np.ndarray, at: np.ndarray) -> set[tuple[int, int, int]]:
-    """(text, item, first word of the window) wherever a window of the shingles has a minimum in common with an item."""
-    found: set[tuple[int, int, int]] = set()
-    if not len(grams):
-        return found
+def _window_minima(widths: dict[int, int], grams: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Partition, function, and the minima of its windows, with the text of each window and its number in the text. ``widths``: blocks of a window."""
     lengths = np.diff(at)
     blocks = -(-lengths // BLOCK)
     owner = np.repeat(np.arange(len(lengths)), blocks)
     inside = np.arange(len(owner)) - np.repeat(A.offsets(blocks)[:-1], blocks)
     begin = at[:-1][owner] + inside * BLOCK
     x = _short(grams)
-    flags = np.zeros(1 << 16, bool)
     ends: dict[int, np.ndarray] = {}
-    for f in range(FUNCTIONS):
+    for f in range(FUNCTIONS if len(grams) else 0):
         low = np.minimum.reduceat(_function(x, f), begin)
         wide, reach = {1: low}, 1
-        for part, width in sorted(enumerate(items.widths), key=lambda p: p[1]):
+        for part, width in sorted(widths.items(), key=lambda p: p[1]):
             while reach * 2 <= width:
                 wide[reach * 2] = _joined(wide[reach], reach, owner, ends)
                 reach *= 2
-            span = wide[reach] if reach == width else np.minimum(wide[reach], _shifted(wide[reach], width - reach, owner, ends))
-            values, which = items.minima[part][f]
-            flags[values & np.uint32(0xFFFF)] = True
-            hit = np.flatnonzero(flags[span & np.uint32(0xFFFF)])
-            flags[values & np.uint32(0xFFFF)] = False
-            if len(hit):
-                a, b = np.searchsorted(values, span[hit], "left"), np.searchsorted(values, span[hit], "right")
-                for k in np.flatnonzero(b > a):
-                    w = hit[k]
-                    found.update((int(owner[w]), int(i), int(inside[w]) * BLOCK) for i in which[a[k] : b[k]])
+            yield part, f, wide[reach] if reach == width else np.minimum(wide[reach], _shifted(wide[reach], width - reach, owner, ends)), owner, inside
+
+
+def _candidates(items: Items, grams: np.ndarray, at: np.ndarray) -> set[tuple[int, int, int]]:
+    """(text, item, first word of the window) wherever a window of the shingles has a minimum in common with an item."""
+    found: set[tuple[int, int, int]] = set()
+    flags = np.zeros(1 << 16, bool)
+    for part, f, span, owner, inside in _window_minima(dict(enumerate(items.widths)), grams, at):
+        values, which = items.minima[part][f]
+        flags[values & np.uint32(0xFFFF)] = True
+        hit = np.flatnonzero(flags[span & np.uint32(0xFFFF)])
+        flags[values & np.uint32(0xFFFF)] = False
+        if len(hit):
+            a, b = np.searchsorted(values, span[hit], "left"), np.searchsorted(values, span[hit], "right")
+            for k in np.flatnonzero(b > a):
+                w = hit[k]
+                found.update((int(owner[w]), int(i), int(inside[w]) * BLOCK) for i in which[a[k] : b[k]])
     return found
 
 
@@ -219,33 +229,47 @@ def _shared(own: np.ndarray, grams: np.ndarray) -> int:
 
 
 def longest_run(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """Most item words matched, in order and in one run with at most one word in WRONG wrong; and that run's length.
+    """The longest run of item words that stands in the text, in order and with at most one word in WRONG wrong: its words, and the right ones among them.
 
-    A run keeps its offset between item and text but for one word more or less."""
-    equal = item[:, None] == text[None, :]
-    i, j = np.nonzero(equal)
+    A run keeps its offset between item and text; in items that are not short, but for one word more or less."""
+    i, j = np.nonzero(item[:, None] == text[None, :])
     if not len(i):
         return 0, 0
     n, best = len(item), (0, 0)
     shift = j - i
     tally = np.bincount(shift + n)
-    near = tally.copy()
-    near[1:] += tally[:-1]
-    near[:-1] += tally[1:]
-    for d in np.flatnonzero(near >= max(2, 0.25 * n)):
+    near, slack = tally.copy(), int(n >= EXACT)
+    if slack:
+        near[1:] += tally[:-1]
+        near[:-1] += tally[1:]
+    for d in np.flatnonzero(near >= max(1, 0.25 * n)):
         match = np.zeros(n, bool)
-        match[i[np.abs(shift + n - d) <= 1]] = True
+        match[i[np.abs(shift + n - d) <= slack]] = True
+        # words a to b are a run if the scores up to b come to what they were at a; the first of the least and the last of the greatest scores bound it
         s = np.concatenate([[0], np.cumsum(np.where(match, 1, 1 - WRONG))])
-        c = np.concatenate([[0], np.cumsum(match)])
-        ok = s[None, :] >= s[:, None]
-        gain = np.where(ok, c[None, :] - c[:, None], 0)
-        k = int(gain.argmax())
-        a, b = divmod(k, n + 1)
-        if gain[a, b] > best[0]:
-            best = (int(gain[a, b]), b - a)
+        top = np.maximum.accumulate(s[::-1])[::-1]
+        a = np.flatnonzero(np.concatenate([[True], s[1:] < np.minimum.accumulate(s)[:-1]]))
+        b = np.searchsorted(-top, -s[a], "right") - 1
+        k = int((b - a).argmax())
+        run = (int(b[k] - a[k]), int(match[a[k] : b[k]].sum()))
+        best = max(best, run)
     return best
 
 
+def _verified(item: np.ndarray, shingles: np.ndarray, text: np.ndarray, grams: np.ndarray) -> tuple[int, int] | None:
+    """Run and right words of an item in a piece of text, if it is a case."""
+    n = len(item)
+    if n >= EXACT and _shared(shingles, grams) < n / 4 - 2:
+        return None
+    run = longest_run(item, text)
+    return run if 2 * run[0] >= n else None
+
+
+def _around(first: int, n: int) -> tuple[int, int]:
+    """The words of a text in which an item of n words stands that has to do with the window that begins at ``first``."""
+    return max(0, first - n), first + 3 * n + BLOCK
+
+
 def _search(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,27 +281,20 @@ def _search(items: Items):
                 found = _candidates(items, grams, at) if items.parts else set()
                 for k in items.exact:
                     strings, begins = (grams, at) if k == SHINGLE else A.ngrams(hashes, bounds, k)
-                    for doc, item, place in _exact(items, k, strings, begins):
-                        own = items.words[item]
-                        if len(own) >= LEAST:
-                            found.add((doc, item, place // BLOCK * BLOCK))
-                        else:
-                            rows[a + doc, item] = (len(own), len(own))
+                    found.update((doc, item, place // BLOCK * BLOCK) for doc, item, place in _exact(items, k, strings, begins))
                 for doc, item, first in found:
                     own = items.words[item]
-                    begin, end = max(0, first - len(own)), first + 3 * len(own) + BLOCK
-                    shared = _shared(items.shingles[item], grams[at[doc] + begin : min(at[doc] + end, at[doc + 1])])
-                    if shared >= max(1, len(own) / 4 - 2):
-                        got = longest_run(own, hashes[bounds[doc] + begin : min(bounds[doc] + end, bounds[doc + 1])])
-                        if got[0] >= SHARE * len(own):
-                            rows[a + doc, item] = max(rows.get((a + doc, item), (0, 0)), got)
+                    begin, end = _around(first, len(own))
+                    got = _verified(own, items.shingles[item], hashes[bounds[doc] + begin : min(bounds[doc] + end, bounds[doc + 1])], grams[at[doc] + begin : min(at[doc] + end, at[doc + 1])])
+                    if got:
+                        rows[a + doc, item] = max(rows.get((a + doc, item), (0, 0)), got)
             keys = list(rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array([d for d, _ in keys], pa.int64())),
                     pa.array([items.ids[i] for _, i in keys], pa.int64()),
-                    pa.array([rows[k][0] for k in keys], pa.int32()),
                     pa.array([rows[k][1] for k in keys], pa.int32()),
+                    pa.array([rows[k][0] for k in keys], pa.int32()),
                     pa.array([len(items.words[i]) for _, i in keys], pa.int32()),
                 ],
                 names=["doc_id", "item_id", "matched_words", "run_words", "item_words"],
@@ -286,18 +303,165 @@ def _search(items: Items):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+SCHEMA = "doc_id bigint, item_id bigint, matched_words int, run_words int, item_words int"
+
+
+def _few(corpus: DataFrame, rows: list) -> DataFrame:
+    return corpus.mapInArrow(_search(Items([r.item_id for r in rows], [r.text for r in rows])), SCHEMA)
+
+
+#: Bits of the bitmap for each key of the index, at most BITMAP in all, and places that a key sets in it.
+BITS, BITMAP, PLACES = 32, 1 << 30, 3
+
+
+def _part(n: int) -> int:
+    """The size partition of an item, on a fixed grid."""
+    return int(np.log(n / EXACT) / np.log(STEP) + 1e-9)
+
+
+def _key(part: int, f: int, values: np.ndarray) -> np.ndarray:
+    """One number for a partition, a function and a minimum."""
+    return A.mix(values.astype(np.uint64) | np.uint64((part * FUNCTIONS + f + 1) << 32))
+
+
+def _gram_key(k: int, grams: np.ndarray) -> np.ndarray:
+    """One number for a string of k words by which short items are looked up."""
+    return A.mix(grams + np.uint64(k))
+
+
+def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(keys >> np.uint64(11 * p)) * (A.BASE if p else np.uint64(1)) & np.uint64(bits - 1) for p in range(PLACES)]
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each item its words, what it is looked up by (a size partition, or minus the words of its strings), and its keys."""
+    for batch in batches:
+        hashes, bounds = words([t or "" for t in batch.column(1).to_pylist()])
+        rows = []
+        for i, item in enumerate(batch.column(0).to_pylist()):
+            own = hashes[bounds[i] : bounds[i + 1]]
+            n = len(own)
+            if 0 < n < EXACT:
+                kind = -looked_up(n)
+                keys = _gram_key(-kind, np.unique(A.ngrams(own, np.array([0, n]), -kind)[0]))
+            elif n:
+                kind = _part(n)
+                x = _short(np.unique(A.ngrams(own, np.array([0, n]), SHINGLE)[0]))
+                keys = np.concatenate([_key(kind, f, _function(x, f).min(keepdims=True)) for f in range(FUNCTIONS)])
+            else:
+                continue
+            rows.append((item, n, kind, own.view(np.int64), keys.view(np.int64)))
+        cols = list(zip(*rows)) if rows else [[] for _ in range(5)]
+        long = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], long), pa.array(cols[4], long)], names=["item_id", "n", "kind", "item", "keys"])
+
+
+def _scan(bitmap, bits: int, widths: dict[int, int], strings: list[int]):
+    """doc_id, key, first: windows and strings of the texts whose key the bitmap lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = bitmap.value
+
+        def passed(keys: np.ndarray) -> np.ndarray:
+            left = np.arange(len(keys))
+            for place in _places(keys, bits):
+                at = place[left]
+                left = left[(flags[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+            return left
+
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in A.slices(texts):
+                hashes, bounds = words(texts[a:b])
+                grams, at = A.ngrams(hashes, bounds, SHINGLE)
+                for part, f, span, owner, inside in _window_minima(widths, grams, at):
+                    keys = _key(part, f, span)
+                    if len(hit := passed(keys)):
+                        yield _hits(batch, a + owner[hit], keys[hit], inside[hit] * BLOCK)
+                for k in strings:
+                    found, begins = (grams, at) if k == SHINGLE else A.ngrams(hashes, bounds, k)
+                    keys = _gram_key(k, found)
+                    if len(hit := passed(keys)):
+                        doc = np.searchsorted(begins, hit, "right") - 1
+                        yield _hits(batch, a + doc, keys[hit], (hit - begins[doc]) // BLOCK * BLOCK)
+
+    return run
+
+
+def _hits(batch: pa.RecordBatch, rows: np.ndarray, keys: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(keys.view(np.int64)), pa.array(first, pa.int64())], names=["doc_id", "key", "first"])
+
+
+def _pieces(longest: int):
+    """doc_id, piece, begin, text: the words of a text in overlapping pieces, each with all that windows beginning in it need."""
+    step = 4 * longest + BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in A.slices(texts):
+                hashes, bounds = words(texts[a:b])
+                rows = [(d, p, max(0, p * step - longest)) for d in range(b - a) for p in range(-(-int(bounds[d + 1] - bounds[d]) // step))]
+                parts = [hashes[bounds[d] + first : min(bounds[d] + (p + 1) * step + 3 * longest + BLOCK, bounds[d + 1])].view(np.int64) for d, p, first in rows]
+                cols = list(zip(*rows)) if rows else [[], [], []]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([a + d for d in cols[0]], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "piece", "begin", "text"]
+                )
+
+    return run, step
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = []
+        for at, (begin, first) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            text, own = (np.asarray(batch.column(c)[at].values).view(np.uint64) for c in (4, 5))
+            a, b = _around(first, len(own))
+            text = text[a - begin : b - begin]
+            shingles, grams = (A.ngrams(x, np.array([0, len(x)]), SHINGLE)[0] for x in (own, text))
+            if found := _verified(own, np.unique(shingles), text, grams):
+                got.append((at, found[1], found[0], len(own)))
+        cols = list(zip(*got)) if got else [[] for _ in range(4)]
+        rows = pa.array(cols[0], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(c, pa.int32()) for c in cols[1:])], names=["doc_id", "item_id", "matched_words", "run_words", "item_words"])
+
+
+def _many(corpus: DataFrame, asked: DataFrame) -> DataFrame:
+    """Any number of items, in one search of the corpus; only a bitmap and the sizes of the partitions reach the driver."""
+    spark = corpus.sparkSession
+    stages = Stages(spark)
+    index = stages.put(asked.mapInArrow(_indexed, "item_id bigint, n int, kind int, item array<bigint>, keys array<bigint>"))
+    keyed = index.select("item_id", F.explode("keys").alias("key"))
+    kinds = {r.kind: r.n for r in index.groupBy("kind").agg(F.max("n").alias("n")).collect()}  # as many as powers of STEP up to the longest item
+    bits = 1 << max(16, min(BITMAP.bit_length() - 1, int(index.agg(F.sum(F.size("keys"))).first()[0] or 0).bit_length() + BITS.bit_length() - 1))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_places(batch.column(0).to_numpy().view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+
+    set_ = keyed.select("key").mapInArrow(placed, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most BITMAP / 64 rows
+    bitmap = np.zeros(bits >> 6, np.uint64)
+    bitmap[set_["word"].to_numpy()] = set_["bit"].to_numpy().view(np.uint64)
+    widths = {k: -(-n // BLOCK) + 1 for k, n in kinds.items() if k >= 0}
+    hits = corpus.mapInArrow(_scan(spark.sparkContext.broadcast(bitmap), bits, widths, [-k for k in kinds if k < 0]), "doc_id bigint, key bigint, first bigint")
+    found = stages.put(hits.join(keyed, "key").select("doc_id", "item_id", "first").distinct())
+    longest = max(kinds.values(), default=1)
+    cut, step = _pieces(longest)
+    needed = stages.put(found.select("doc_id").distinct())
+    texts = corpus.join(broadcast_if(needed, needed.count(), FEW_IDS), "doc_id", "left_semi").mapInArrow(cut, "doc_id bigint, piece bigint, begin bigint, text array<bigint>")
+    rows = found.withColumn("piece", F.floor(F.col("first") / step)).join(texts, ["doc_id", "piece"]).join(index.select("item_id", "item"), "item_id")
+    return rows.select("doc_id", "item_id", "begin", "first", "text", "item").mapInArrow(_judged, SCHEMA)
+
+
+#: Rows of ids that may be broadcast; more are shuffled.
+FEW_IDS = 200_000
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", few: int = ITEMS) -> DataFrame:
     """doc_id, item_id, matched_words, run_words, item_words: every document with a passage of an item, each pair once."""
     corpus = docs.select(F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     asked = items.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null").distinct()
-    schema = "doc_id bigint, item_id bigint, matched_words int, run_words int, item_words int"
-    blocks, block = [], []
-    for row in asked.orderBy("item_id").toLocalIterator():
-        block.append(row)
-        if len(block) == ITEMS:
-            blocks.append(block)
-            block = []
-    blocks.append(block)
-    passes = [corpus.mapInArrow(_search(Items([r.item_id for r in b], [r.text for r in b])), schema) for b in blocks]
-    out = reduce(DataFrame.unionByName, passes)
+    rows = asked.orderBy("item_id").limit(few + 1).collect()
+    out = _few(corpus, rows) if len(rows) <= few else _many(corpus, asked)
     return out.groupBy("doc_id", "item_id").agg(F.max("matched_words").alias("matched_words"), F.max("run_words").alias("run_words"), F.max("item_words").alias("item_words"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.tokens import ByteCounter, piece_counter
 from lexmill.llm import budget, components, langid, leakage, mixing, neardup, overlap, packing, sampling, splits
-from lexmill.llm.records import split_name
+from lexmill.operators.records import split_name
 from lexmill.session import table, texts
 
 #: Where the public tokenizers' files are.
@@ -53,6 +53,10 @@ def p2_splits(s, d):
     return members.join(splits.assign(members), "component").select(F.col("id").alias("document_id"), "component", "split")
 
 
+def p2_torn(s, d):
+    return splits.torn_components(_related(s, d))
+
+
 def p3_found(s, d):
     return components.matched(table(s, d, "near_edges"))
 

@@ -41,7 +41,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"""
 with {LATEST}, {KEYS}
 select c cluster_id from counts join (select distinct document_id, c from keys where c is not null) using (document_id)
-where split is not null and token_count is not null group by c having count(distinct split) > 1
+where split is not null group by c having count(distinct split) > 1
 """,
         "p3_found": """
 with recursive e as (

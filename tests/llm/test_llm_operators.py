@@ -123,13 +123,14 @@ def test_estimate_is_near_the_truth(spark):
         assert abs(r.e - similarity(texts[0], texts[r.i])) < 0.12
 
 
-def test_leaks(spark):
+@pytest.mark.parametrize("few", [5000, 0])
+def test_leaks(spark, few):
     rnd = random.Random(8)
-    items = [words(rnd, n) for n in (45, 60, 80, 110)] + [words(rnd, 3)]
+    items = [words(rnd, n) for n in (45, 60, 80, 110)]
 
     def hide(w, k):
         w = list(w)
-        for i in range(k % 7, len(w), 7):
+        for i in [*range(k % 7, len(w), 7)][: len(w) // 6]:
             w[i] = "yanlış"
         return w
 
@@ -147,7 +148,7 @@ def test_leaks(spark):
         if share >= 0.5:
             want.add((i, item))
     docs += [(100, None), (101, ""), (None, docs[0][1])]
-    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(9, None), (10, "")], "item_id bigint, text string"))
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(9, None), (10, "")], "item_id bigint, text string"), few=few)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
@@ -382,8 +383,9 @@ def test_tokenizer_path_is_a_parameter():
     assert public_counter(TOKENIZERS, "byte_bpe_50k.tiktoken")(["söz"])[0] > 0
 
 
-def test_leaks_of_short_items(spark):
-    """Items of 6 to 31 words: half of an item with every sixth word wrong is found, a third is not. Shorter ones are found whole."""
+@pytest.mark.parametrize("few", [5000, 0])
+def test_leaks_of_short_items(spark, few):
+    """Half of an item with every sixth word wrong is found, a third is not, however short the item."""
     rnd = random.Random(31)
     vocabulary = [f"w{i}" for i in range(20_000)]
     rnd.shuffle(vocabulary)
@@ -393,22 +395,84 @@ def test_leaks_of_short_items(spark):
     for n in [*range(1, 32), 8, 12, 13, 16, 18, 24]:
         item, i = take(n), len(items)
         items.append((i, " ".join(item)))
-        half = -(-n // 2) if n >= leakage.LEAST else n
+        half = -(-n // 2)
         for at in {0, (n - half) // 2, n - half}:
             run = item[at : at + half]
             for k in range(2, len(run), 6):
-                if n >= leakage.LEAST and k // 6 < len(run) // 6:
+                if k // 6 < len(run) // 6:
                     run[k] = next(fresh)
             want.add((len(docs), i))
             docs.append((len(docs), " ".join(take(15) + run + take(15))))
         third.append((item, (n - 1) // 3))
     for item, n in third:
         docs.append((len(docs), " ".join(take(15) + item[:n] + take(15))))
-    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), few=few).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
 
 
 def test_leaks_of_tiny_items_keep_the_order(spark):
     docs = [(0, "alti iki bir uc dord bes"), (1, "yeddi bir iki uc dord"), (2, "bir iki uc")]
     got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, "bir iki uc dord")], "item_id bigint, text string")).collect()
-    assert [(r.doc_id, r.matched_words, r.run_words, r.item_words) for r in got] == [(1, 4, 4, 4)]
+    assert [(r.doc_id, r.matched_words, r.run_words, r.item_words) for r in sorted(got)] == [(0, 2, 2, 4), (1, 4, 4, 4), (2, 3, 3, 4)]
+
+
+@pytest.mark.parametrize("hub", [100_000, 5])
+def test_search_with_parts_of_hubs(spark, hub):
+    e = [(f"{a:05d}", f"{b:05d}") for a, b in graph(3) if a is not None and b is not None]
+    got = splits.search(spark.createDataFrame(e, "a string, b string"), hub=hub).collect()
+    want = brute_groups(e)
+    assert len(got) == len(want) and {r.v for r in got} == set(want)
+    assert len({(r.root, want[r.v]) for r in got}) == len(set(want.values())) == len({r.root for r in got})
+
+
+def related_fixture(spark):
+    """r1-r2 by cluster, r2-r3 by text, r3-r4 by cluster: one component over two clusters; r5 has only a text, r6 nothing, r7 a null count, r8 no split."""
+    h = lambda x: f"{x:064x}"
+    m = [("r1", h(1), h(11)), ("r2", "sha256:" + h(1).upper(), h(12)), ("r3", h(2), h(12)), ("r4", f" {h(2)}", None), ("r5", None, h(12)), ("r6", None, None), ("r7", h(3), h(13)), ("r7b", h(3), None), ("r8", h(4), None), ("r9", h(4), h(19)), ("r1", h(1), h(11)), (None, h(1), h(12))]
+    c = [("r1", "Train", 5), ("r2", " train", 6), ("r3", "val", 7), ("r4", "training", None), ("r5", "test", 1), ("r6", "test", 2), ("r7", "train", None), ("r7b", "dev", 3), ("r8", None, 3), ("r9", "train", 3)]
+    manifests = spark.createDataFrame(m, "document_id string, duplicate_cluster_id string, canonical_text_hash string")
+    counts = spark.createDataFrame([(d, None, None, s, n, 1) for d, s, n in c], "document_id string, source string, source_group string, split string, token_count bigint, counted_at int")
+    return splits.related(counts, manifests)
+
+
+def test_components_over_clusters_and_texts(spark):
+    rows = related_fixture(spark)
+    comp = {r.document_id: r.component for r in rows.collect()}
+    assert len(comp) == 10 and len({comp[f"r{i}"] for i in range(1, 6)}) == 1 and comp["r7"] == comp["r7b"] and comp["r8"] == comp["r9"] and len(set(comp.values())) == 4
+    assert {r.cluster_id for r in splits.torn(rows).collect()} == {f"{2:064x}", f"{3:064x}"}
+    got = {(r.records, r.clusters, r.splits) for r in splits.torn_components(rows).collect()}
+    assert got == {(5, 2, "test,train,validation"), (2, 1, "train,validation")}
+
+
+def test_record_in_two_clusters_tears_both(spark):
+    h = lambda x: f"{x:064x}"
+    m = [("a", h(1)), ("b", h(2)), ("c", h(1)), ("c", h(2))]
+    rows = lambda m: splits.related(spark.createDataFrame([(d, None, None, s, 1, 1) for d, s in (("a", "train"), ("b", "test"), ("c", "train"))], "document_id string, source string, source_group string, split string, token_count bigint, counted_at int"), spark.createDataFrame([(d, c, None) for d, c in m], "document_id string, duplicate_cluster_id string, canonical_text_hash string"))
+    assert splits.torn(rows(m[:3])).count() == 0
+    joined = rows(m)
+    assert [r.cluster_id for r in splits.torn(joined).collect()] == [h(2)] and joined.select("component").distinct().count() == 1
+
+
+def test_run_reaches_over_half_of_the_item():
+    """Right words alone don't make a case: the run's length does, wrong words at its ends included."""
+    item = np.arange(1, 61, dtype=np.uint64)
+    for right, whole in ((23, 27), (24, 28), (25, 30), (30, 36)):
+        text = np.concatenate([np.full(9, 999, np.uint64), item[5 : 5 + right], np.full(9, 999, np.uint64)])
+        assert leakage.longest_run(item, text) == (whole, right)
+    text = item[20:50].copy()
+    text[[0, 7, 14, 21, 29]] = 999
+    assert leakage.longest_run(item, text)[0] >= 30
+
+
+def test_many_items_in_one_search(spark):
+    """12 000 items are an index table; the result is the same as by sets of items."""
+    rnd = random.Random(17)
+    items = [(i, " ".join(f"w{rnd.randrange(50_000)}" for _ in range(rnd.choice([3, 8, 20, 40, 90])))) for i in range(12_000)]
+    docs = []
+    for i in range(200):
+        w = items[rnd.randrange(12_000)][1].split()
+        cut = w[: len(w) * rnd.choice([10, 6, 3]) // 10]
+        docs.append((i, " ".join([f"x{rnd.randrange(9000)}" for _ in range(rnd.randrange(1, 600))] + cut + ["son"] * 20)))
+    d, q = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    one = {tuple(r) for r in leakage.leaks(d, q).collect()}
+    assert len(one) >= 100 and one == {tuple(r) for r in leakage.leaks(d, q, few=20_000).collect()}
