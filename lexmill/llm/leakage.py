@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import arrays as A
+from lexmill.llm import bitmap
 from lexmill.session import Stages, broadcast_if
 
 SHINGLE, FUNCTIONS, BLOCK, STEP, EXACT = 3, 96, 16, 1.5, 32
@@ -310,10 +311,6 @@ def _few(corpus: DataFrame, rows: list) -> DataFrame:
     return corpus.mapInArrow(_search(Items([r.item_id for r in rows], [r.text for r in rows])), SCHEMA)
 
 
-#: Bits of the bitmap for each key of the index, at most BITMAP in all, and places that a key sets in it.
-BITS, BITMAP, PLACES = 32, 1 << 30, 3
-
-
 def _part(n: int) -> int:
     """The size partition of an item, on a fixed grid."""
     return int(np.log(n / EXACT) / np.log(STEP) + 1e-9)
@@ -329,10 +326,6 @@ def _gram_key(k: int, grams: np.ndarray) -> np.ndarray:
     return A.mix(grams + np.uint64(k))
 
 
-def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(keys >> np.uint64(11 * p)) * (A.BASE if p else np.uint64(1)) & np.uint64(bits - 1) for p in range(PLACES)]
-
-
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each item its words, what it is looked up by (a size partition, or minus the words of its strings), and its keys."""
     for batch in batches:
@@ -356,19 +349,11 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], long), pa.array(cols[4], long)], names=["item_id", "n", "kind", "item", "keys"])
 
 
-def _scan(bitmap, bits: int, widths: dict[int, int], strings: list[int]):
+def _scan(sent, widths: dict[int, int], strings: list[int]):
     """doc_id, key, first: windows and strings of the texts whose key the bitmap lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = bitmap.value
-
-        def passed(keys: np.ndarray) -> np.ndarray:
-            left = np.arange(len(keys))
-            for place in _places(keys, bits):
-                at = place[left]
-                left = left[(flags[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
-            return left
-
+        flags = sent.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in A.slices(texts):
@@ -376,12 +361,12 @@ def _scan(bitmap, bits: int, widths: dict[int, int], strings: list[int]):
                 grams, at = A.ngrams(hashes, bounds, SHINGLE)
                 for part, f, span, owner, inside in _window_minima(widths, grams, at):
                     keys = _key(part, f, span)
-                    if len(hit := passed(keys)):
+                    if len(hit := bitmap.passed(flags, keys)):
                         yield _hits(batch, a + owner[hit], keys[hit], inside[hit] * BLOCK)
                 for k in strings:
                     found, begins = (grams, at) if k == SHINGLE else A.ngrams(hashes, bounds, k)
                     keys = _gram_key(k, found)
-                    if len(hit := passed(keys)):
+                    if len(hit := bitmap.passed(flags, keys)):
                         doc = np.searchsorted(begins, hit, "right") - 1
                         yield _hits(batch, a + doc, keys[hit], (hit - begins[doc]) // BLOCK * BLOCK)
 
@@ -433,18 +418,9 @@ def _many(corpus: DataFrame, asked: DataFrame) -> DataFrame:
     index = stages.put(asked.mapInArrow(_indexed, "item_id bigint, n int, kind int, item array<bigint>, keys array<bigint>"))
     keyed = index.select("item_id", F.explode("keys").alias("key"))
     kinds = {r.kind: r.n for r in index.groupBy("kind").agg(F.max("n").alias("n")).collect()}  # as many as powers of STEP up to the longest item
-    bits = 1 << max(16, min(BITMAP.bit_length() - 1, int(index.agg(F.sum(F.size("keys"))).first()[0] or 0).bit_length() + BITS.bit_length() - 1))
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.concatenate(_places(batch.column(0).to_numpy().view(np.uint64), bits))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
-
-    set_ = keyed.select("key").mapInArrow(placed, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most BITMAP / 64 rows
-    bitmap = np.zeros(bits >> 6, np.uint64)
-    bitmap[set_["word"].to_numpy()] = set_["bit"].to_numpy().view(np.uint64)
+    flags = bitmap.build(keyed.select("key"), int(index.agg(F.sum(F.size("keys"))).first()[0] or 0))
     widths = {k: -(-n // BLOCK) + 1 for k, n in kinds.items() if k >= 0}
-    hits = corpus.mapInArrow(_scan(spark.sparkContext.broadcast(bitmap), bits, widths, [-k for k in kinds if k < 0]), "doc_id bigint, key bigint, first bigint")
+    hits = corpus.mapInArrow(_scan(spark.sparkContext.broadcast(flags), widths, [-k for k in kinds if k < 0]), "doc_id bigint, key bigint, first bigint")
     found = stages.put(hits.join(keyed, "key").select("doc_id", "item_id", "first").distinct())
     longest = max(kinds.values(), default=1)
     cut, step = _pieces(longest)

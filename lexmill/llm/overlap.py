@@ -1,16 +1,18 @@
 """Same or near-same records across splits (problem 6).
 
-Each record is a set of features: hashes of its word 5-grams where its text is at hand, or of the identities an
-earlier stage gave it (text hash, duplicate cluster) where it is not. The features of the evaluation records
-are partitioned by hash, the training records' features are scanned for hits, and hits are counted for each
-pair: the containment of the evaluation record in the training record.
-
-A feature that over ``HOT`` of a side's records carry (there are at most 1 / HOT_SHARE such features, which is
+Each record is a set of features: hashes of its word 5-grams where its text is at hand, and the identities that an
+earlier stage gave it (text hash, duplicate cluster). The features of the evaluation records are partitioned by hash, the training
+records are scanned for hits, and hits give pairs. Of the grams, only the rarest (1 - share) n + 1 of an evaluation record ask for training
+records, since what contains ``share`` of it has one of them; the pairs found are given the containment of the evaluation record in the
+training record, over all its grams. Texts are never shuffled: a bitmap of the evaluation grams goes to the scan of the texts, and only what it lets pass
+is written. Equal texts of one side are one class in this search, given by its least id; ``text_classes`` has the members.
+
+A feature that over ``HOT_SHARE`` of all features' rows carry (there are at most 1 / HOT_SHARE such features, which is
 why their list may be broadcast) is cut into parts by a hash of the training record, and the evaluation rows
 are repeated for each part, so that no task holds the group.
 
 Defined results: null ids, null features and records outside the three splits take part in nothing; a record
-never pairs with itself; repeated rows count once.
+never pairs with itself; repeated rows count once; a record with rows in several splits stands on both sides.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm import arrays as A
+from lexmill.llm import bitmap
 from lexmill.llm.leakage import words
 from lexmill.operators.records import spelling, split_name
 from lexmill.session import Stages, broadcast_if, hex64
@@ -32,6 +35,8 @@ HOT_SHARE = 0.001
 PARTS = 64
 #: Rows of huge features that may be broadcast; more are shuffled.
 SMALL = 10_000
+#: Ids of documents that may be broadcast; more are shuffled.
+IDS = 200_000
 #: Features of one record up to which its pairs are counted by subsets of them.
 WIDE = 4
 WORDS = 5
@@ -49,32 +54,32 @@ def identities(manifests: DataFrame) -> DataFrame:
     return rows.where("id is not null and split is not null").select("id", "split", F.concat(F.substring("name", 1, 1), F.substring("name", 2, 32)).alias("feature"))
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(2).to_pylist()
-        for a, b in A.slices(texts):
-            hashes, bounds = words(texts[a:b])
-            grams, at = A.ngrams(hashes, bounds, WORDS)
-            owner = np.repeat(np.arange(b - a), np.diff(at))
-            order = np.lexsort((grams, owner))
-            grams, owner = grams[order], owner[order]
-            new = np.ones(len(grams), bool)
-            new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-            owner = owner[new]
-            total = np.bincount(owner, minlength=b - a)
-            take = pa.array(owner + a)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(grams[new].view(np.int64)), pa.array(total[owner], pa.int64())], names=["id", "split", "feature", "total"]
-            )
+def _grams(sent=None):
+    """id, feature, total: hashes of the distinct word 5-grams of texts, and how many a text has; with a bitmap, those that it lets pass."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in A.slices(texts):
+                hashes, bounds = words(texts[a:b])
+                grams, at = A.ngrams(hashes, bounds, WORDS)
+                owner = np.repeat(np.arange(b - a), np.diff(at))
+                if sent is not None:
+                    hit = bitmap.passed(sent.value, grams)
+                    grams, owner = grams[hit], owner[hit]
+                order = np.lexsort((grams, owner))
+                grams, owner = grams[order], owner[order]
+                new = np.ones(len(grams), bool)
+                new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+                owner = owner[new]
+                total = np.bincount(owner, minlength=b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + a)), pa.array(grams[new].view(np.int64)), pa.array(total[owner], pa.int64())], names=["doc", "feature", "total"])
 
-def word_grams(records: DataFrame) -> DataFrame:
-    """id, split, feature, total for records (id, split, text): hashes of the distinct word 5-grams, and how many the record has."""
-    return records.where("id is not null and split is not null and text is not null").select("id", "split", "text").mapInArrow(_grams, "id string, split string, feature bigint, total bigint")
+    return run
 
 
 def hits(features: DataFrame, most_pairs: int | None = None) -> DataFrame:
-    """e, t, n: evaluation record, training record, number of features in both.
+    """e, t, n, same_text, same_cluster, grams: evaluation record, training record, number of features in both, and of which kinds they are.
 
     Every pair is made, unless the caller names ``most_pairs``: then a feature that would make more is given by representatives, each of
     its evaluation records with the least training record, and the least evaluation record with each training record. No query does."""
@@ -97,44 +102,83 @@ def hits(features: DataFrame, most_pairs: int | None = None) -> DataFrame:
     met = left.join(right, ["feature", "part"]).select("e", "t", "feature")
     if count:
         met = met.unionByName(stars)
-    return met.where("e <> t").groupBy("e", "t").agg(F.count_distinct("feature").alias("n"))
+    kinds = [F.bool_or(F.col("feature").startswith(k)).alias(name) for k, name in (("h", "same_text"), ("c", "same_cluster"), ("g", "grams"))]
+    return met.where("e <> t").distinct().groupBy("e", "t").agg(F.count("*").alias("n"), *kinds)
 
 
-def same_records(manifests: DataFrame) -> DataFrame:
-    """left_document_id, right_document_id: records of training and evaluation with an identity in common."""
-    found = hits(identities(manifests))
+def same_records(found: DataFrame) -> DataFrame:
+    """left_document_id, right_document_id: of the overlaps, those with an identity in common."""
+    found = found.where("same_text or same_cluster")
     return found.select(F.least("e", "t").alias("left_document_id"), F.greatest("e", "t").alias("right_document_id")).distinct()
 
 
+def text_records(manifests: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, side, doc, key: the records whose text is at hand, with the document that has it and the text's digest; a record with several texts has several rows."""
+    records = manifests.where("document_id is not null and doc_rowid is not null").select(F.col("document_id").alias("id"), F.col("doc_rowid").alias("doc"), split_name(F.col("split")).alias("split")).where("split is not null")
+    records = records.select("id", F.when(F.col("split") == "train", "train").otherwise("evaluation").alias("side"), "doc").distinct()
+    keys = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), F.unhex(F.sha2("text", 256)).alias("key")).distinct()
+    return records.join(keys, "doc")
+
+
 def text_classes(records: DataFrame) -> DataFrame:
-    """id, side, rep: the records (id, split, text) of training and of evaluation, and the least id on their side with the same text."""
-    rows = records.where("id is not null and split is not null and text is not null")
-    keyed = rows.select("id", F.when(F.col("split") == "train", "train").otherwise("evaluation").alias("side"), F.unhex(F.sha2("text", 256)).alias("key")).distinct()
+    """id, side, rep, copies: the records of training and of evaluation, and the least id on their side with the same text. ``records`` as of ``text_records``."""
+    keyed = records.select("id", "side", "key").distinct()
     reps = keyed.groupBy("side", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     return keyed.join(reps, ["side", "key"]).select("id", "side", "rep", "copies")
 
 
-def contained_texts(records: DataFrame, share: float = CONTAINED) -> DataFrame:
-    """eval_id, train_id, shared, eval_grams, containment, eval_copies, train_copies: evaluation texts whose word 5-grams stand to
-    ``share`` in a training text. Equal texts of one side are one class, given by its least id; ``text_classes`` has the members."""
-    stages = Stages(records.sparkSession)
-    classes = stages.put(text_classes(records))
-    reps = classes.where("id = rep").select("id", "side", "copies")
-    one = records.select("id", F.when(F.col("split") == "train", "train").otherwise("evaluation").alias("side"), "text").dropDuplicates(["id", "side"]).join(reps, ["id", "side"], "left_semi")
-    grams = stages.put(word_grams(one.withColumnRenamed("side", "split")))
-    test = grams.where("split <> 'train'").select(F.col("id").alias("e"), "feature", F.col("total").alias("eval_grams"))
-    train = grams.where("split = 'train'").select(F.col("id").alias("t"), "feature")
-    # what holds ``share`` of a record's grams holds one of its rarest (1 - share) n + 1: only those look for training records
-    often = train.groupBy("feature").agg(F.count("*").alias("nt"))
-    rarest = Window.partitionBy("e").orderBy(F.coalesce("nt", F.lit(0)), "feature")
-    probes = test.join(often, "feature", "left").withColumn("k", F.row_number().over(rarest)).where((F.col("k") <= F.col("eval_grams") - F.ceil(share * F.col("eval_grams")) + 1) & F.col("nt").isNotNull())
-    asked = probes.select(F.col("e").alias("id"), F.lit("evaluation").alias("split"), "feature").unionByName(train.select(F.col("t").alias("id"), F.lit("train").alias("split"), "feature"))
-    pairs = stages.put(hits(asked).select("e", "t"))
-    found = pairs.join(test, "e").join(train, ["t", "feature"]).groupBy("e", "t").agg(F.count("*").alias("n"), F.first("eval_grams").alias("eval_grams"))
-    near = found.withColumn("containment", F.col("n") / F.col("eval_grams")).where(F.col("containment") >= share)
-    e = reps.where("side <> 'train'").select(F.col("id").alias("e"), F.col("copies").alias("eval_copies"))
-    t = reps.where("side = 'train'").select(F.col("id").alias("t"), F.col("copies").alias("train_copies"))
-    return near.join(e, "e").join(t, "t").select(F.col("e").alias("eval_id"), F.col("t").alias("train_id"), F.col("n").alias("shared"), "eval_grams", "containment", "eval_copies", "train_copies")
+class _Texts:
+    """The texts at hand: one document for each class of equal texts of a side, and the grams of both sides' documents that matter."""
+
+    def __init__(self, manifests: DataFrame, docs: DataFrame):
+        spark, self.stages = manifests.sparkSession, Stages(manifests.sparkSession)
+        records = text_records(manifests, docs)
+        self.classes = self.stages.put(records.groupBy("side", "key").agg(F.min("id").alias("id"), F.min("doc").alias("doc"), F.count_distinct("id").alias("copies")).drop("key"))
+        asked = self.classes.where("side = 'evaluation'").select("doc", F.col("id").alias("e"))
+        texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), "text")
+        shape = f"doc {docs.schema['doc_id'].dataType.simpleString()}, feature bigint, total bigint"
+        needed = asked.select("doc").distinct()
+        grams = texts.join(broadcast_if(needed, needed.count(), IDS), "doc", "left_semi").mapInArrow(_grams(), shape).distinct()
+        grams = self.stages.put(grams)
+        features = self.stages.put(grams.select("feature").distinct())
+        sent = spark.sparkContext.broadcast(bitmap.build(features, features.count()))
+        # the scan writes only what evaluation texts have too, but for what the bitmap lets pass by chance, which finds no partner
+        seen = texts.mapInArrow(_grams(sent), shape).select("doc", "feature").distinct()
+        self.test = self.stages.put(asked.join(grams, "doc").groupBy("e", "feature").agg(F.max("total").alias("eval_grams")))
+        self.train = self.stages.put(self.classes.where("side = 'train'").select("doc", F.col("id").alias("t")).join(seen, "doc").select("t", "feature").distinct())
+
+    def features(self, share: float) -> DataFrame:
+        """id, split, feature: the rarest grams of each evaluation record, and the training records' grams."""
+        often = self.train.groupBy("feature").agg(F.count("*").alias("nt"))
+        rarest = Window.partitionBy("e").orderBy(F.coalesce("nt", F.lit(0)), "feature")
+        probes = self.test.join(often, "feature", "left").withColumn("k", F.row_number().over(rarest)).where((F.col("k") <= F.col("eval_grams") - F.ceil(share * F.col("eval_grams")) + 1) & F.col("nt").isNotNull())
+        name = F.concat(F.lit("g"), F.hex("feature")).alias("feature")
+        return probes.select(F.col("e").alias("id"), F.lit("evaluation").alias("split"), name).unionByName(self.train.select(F.col("t").alias("id"), F.lit("train").alias("split"), name))
+
+    def contained(self, pairs: DataFrame, share: float) -> DataFrame:
+        """e, t, shared, eval_grams, containment of the pairs (e, t) that reach ``share``."""
+        found = pairs.select("e", "t").join(self.test, "e").join(self.train, ["t", "feature"]).groupBy("e", "t").agg(F.count("*").alias("shared"), F.max("eval_grams").alias("eval_grams"))
+        return found.withColumn("containment", F.col("shared") / F.col("eval_grams")).where(F.col("containment") >= share)
+
+
+def overlaps(manifests: DataFrame, docs: DataFrame, share: float = CONTAINED) -> DataFrame:
+    """e, t, same_text, same_cluster, shared, eval_grams, containment: every pair of an evaluation and a training record that has a text hash or
+    a cluster in common, or whose texts are at hand and the evaluation record's word 5-grams stand to ``share`` in the training record
+    (else these three are null; for equal texts of one side, they are given for their least ids)."""
+    texts = _Texts(manifests, docs)
+    found = texts.stages.put(hits(identities(manifests).unionByName(texts.features(share))).drop("n"))
+    near = texts.contained(found.where("grams"), share)
+    return found.drop("grams").join(near, ["e", "t"], "left").where("same_text or same_cluster or containment is not null")
+
+
+def contained_texts(manifests: DataFrame, docs: DataFrame, share: float = CONTAINED) -> DataFrame:
+    """eval_id, train_id, shared, eval_grams, containment, eval_copies, train_copies: the part of ``overlaps`` that the texts at hand give, with the number of
+    records that each id stands for."""
+    texts = _Texts(manifests, docs)
+    near = texts.contained(texts.stages.put(hits(texts.features(share)).select("e", "t")), share)
+    copies = lambda side, name: texts.classes.where(f"side = '{side}'").groupBy(F.col("id").alias(name[0])).agg(F.max("copies").alias(f"{name}_copies"))
+    found = near.join(copies("evaluation", "eval"), "e").join(copies("train", "train"), "t")
+    return found.select(F.col("e").alias("eval_id"), F.col("t").alias("train_id"), "shared", "eval_grams", "containment", "eval_copies", "train_copies")
 
 
 def _subsets(features: str) -> Column:

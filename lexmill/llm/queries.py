@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.tokens import ByteCounter, piece_counter
 from lexmill.llm import budget, components, langid, leakage, mixing, neardup, overlap, packing, sampling, splits
-from lexmill.operators.records import split_name
 from lexmill.session import table, texts
 
 #: Where the public tokenizers' files are.
@@ -80,24 +79,24 @@ def p5_documents(s, d):
 
 
 def p6_found(s, d):
-    return overlap.same_records(table(s, d, "manifests"))
+    return overlap.same_records(overlap.overlaps(table(s, d, "manifests"), texts(s, d)))
 
 
 def p6_report(s, d):
     return overlap.report(table(s, d, "manifests"))
 
 
-def _texts(s: SparkSession, d: str) -> DataFrame:
-    split = table(s, d, "manifests").where("doc_rowid is not null").groupBy(F.col("doc_rowid").alias("doc_id")).agg(F.min("document_id").alias("id"), F.min(split_name(F.col("split"))).alias("split"))
-    return texts(s, d).select("doc_id", "text").join(split, "doc_id").select("id", "split", "text")
+def p6_overlaps(s, d):
+    found = overlap.overlaps(table(s, d, "manifests"), texts(s, d))
+    return found.withColumnsRenamed({"e": "eval_id", "t": "train_id"})
 
 
 def p6_texts(s, d):
-    return overlap.contained_texts(_texts(s, d))
+    return overlap.contained_texts(table(s, d, "manifests"), texts(s, d))
 
 
 def p6_members(s, d):
-    return overlap.text_classes(_texts(s, d))
+    return overlap.text_classes(overlap.text_records(table(s, d, "manifests"), table(s, d, "documents")))
 
 
 def p7_sample(s, d):

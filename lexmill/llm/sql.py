@@ -69,6 +69,11 @@ pairs as (
     union select t.document_id, e.document_id from keys t join keys e on t.c = e.c where t.split = 'train' and e.split in ('validation', 'test')
 )
 select distinct least(t, e) left_document_id, greatest(t, e) right_document_id from pairs where t <> e
+""",
+        "p6_members": """
+with m as (select distinct document_id id, case when split = 'train' then 'train' else 'evaluation' end side, doc_rowid from manifests where document_id is not null and split is not null),
+k as (select distinct id, side, text from m join documents on doc_id = doc_rowid where text is not null)
+select id, side, min(id) over (partition by side, text) rep, count(*) over (partition by side, text) copies from k
 """,
         "p6_report": f"""
 with {KEYS},

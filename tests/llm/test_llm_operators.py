@@ -301,7 +301,8 @@ def test_report_same_as_brute_force(spark, wide):
 
 def test_same_records_gives_all_pairs_of_a_huge_cluster(spark):
     rows = [(f"t{i:04d}", "train", "web", i, 1) for i in range(5000)] + [(f"e{i:04d}", "test", "web", 10_000 + i, 1) for i in range(2100)]
-    got = overlap.same_records(spark.createDataFrame(clustered(rows), MANIFEST))
+    manifests = spark.createDataFrame(clustered(rows), MANIFEST).withColumn("doc_rowid", F.lit(None).cast("bigint"))
+    got = overlap.same_records(overlap.overlaps(manifests, spark.createDataFrame([], "doc_id bigint, text string")))
     e, t = (F.substring(f"{side}_document_id", 2, 4).cast("int") for side in ("left", "right"))
     crossing = F.col("left_document_id").startswith("e") & F.col("right_document_id").startswith("t")
     assert got.agg(F.count("*"), F.count_if(crossing), F.count_distinct(e * 5000 + t)).first() == (10_500_000,) * 3
@@ -316,12 +317,49 @@ def test_large_class_is_a_star(spark):
     assert got == sorted([(0, i) for i in range(1, 30)] + [(30, 31), (0, 30), (0, 31)])
 
 
+def brute_containment(rows, share=0.8):
+    """Pairs of texts (id, split, text), of least ids of equal texts, in which the first's word 5-grams stand to ``share`` in the second."""
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    least = {}
+    for i, split, t in rows:
+        if t is not None and split:
+            side = split == "train"
+            least[side, t] = min(i, least.get((side, t), i))
+    sides = {True: [], False: []}
+    for (side, t), i in least.items():
+        sides[side].append((i, grams(t)))
+    return {(e, t): len(x & y) / len(x) for e, x in sides[False] for t, y in sides[True] if x and e != t and len(x & y) >= share * len(x)}
+
+
 def test_contained_texts(spark):
+    """Against brute force: whole and partial passages, a phrase that all texts share, copies on both sides, one text in train and in test, nulls."""
     rnd = random.Random(9)
-    w = words(rnd, 60)
-    rows = [("e", "test", " ".join(w)), ("t", "train", " ".join(words(rnd, 50) + w + words(rnd, 50))), ("u", "train", " ".join(words(rnd, 100))), ("n", "train", None)]
-    got = overlap.contained_texts(spark.createDataFrame(rows, "id string, split string, text string")).collect()
-    assert [(r.eval_id, r.train_id, r.containment) for r in got] == [("e", "t", 1.0)]
+    stock = words(rnd, 12)
+    rows = []
+    for k in range(60):
+        own = words(rnd, rnd.choice([4, 8, 40, 90]))
+        rows.append((f"e{k:02d}", rnd.choice(["test", "validation"]), " ".join(own + stock)))
+        kept = own[: rnd.choice([len(own), len(own) * 9 // 10, len(own) // 2])]
+        rows.append((f"t{k:02d}", "train", " ".join(words(rnd, 30) + kept + stock + words(rnd, rnd.randrange(30)))))
+    rows += [("e90", "test", rows[0][2]), ("t90", "train", rows[1][2]), ("b", "test", rows[3][2]), ("n", "train", None), ("x", "test", ""), ("y", None, rows[0][2])]
+    manifest = [(i, n, s, None, None) for n, (i, s, _) in enumerate(rows)] + [("b", 3, "train", None, None), ("z", None, "test", None, None), (None, 1, "train", None, None)]
+    docs = spark.createDataFrame([(n, t) for n, (_, _, t) in enumerate(rows)], "doc_id bigint, text string")
+    manifests = spark.createDataFrame(manifest, "document_id string, doc_rowid bigint, split string, canonical_text_hash string, duplicate_cluster_id string")
+    want = brute_containment(rows + [("b", "train", rows[3][2])])
+    assert len(want) >= 30
+    assert {(r.eval_id, r.train_id): r.containment for r in overlap.contained_texts(manifests, docs).collect()} == want
+    assert {(r.e, r.t): r.containment for r in overlap.overlaps(manifests, docs).collect()} == want
+
+
+def test_overlaps_give_their_reasons(spark):
+    text = " ".join(words(random.Random(3), 40))
+    h = "ab" * 32
+    rows = [("e1", 1, "test", h, None), ("t1", 2, "train", h.upper(), "x"), ("t2", 3, "train", None, None), ("t3", None, "train", None, f"c:{h}"), ("e2", 4, "dev", None, h)]
+    docs = [(1, text), (2, text + " son söz"), (3, "başqa " + text), (4, "tamam başqa bir mətn burada durur")]
+    found = overlap.overlaps(spark.createDataFrame(rows, "document_id string, doc_rowid bigint, split string, canonical_text_hash string, duplicate_cluster_id string"), spark.createDataFrame(docs, "doc_id bigint, text string"))
+    got = {(r.e, r.t): (r.same_text, r.same_cluster, r.containment) for r in found.collect()}
+    assert got == {("e1", "t1"): (True, False, 1.0), ("e1", "t2"): (False, False, 1.0), ("e2", "t3"): (False, True, None)}
+    assert {tuple(r) for r in overlap.same_records(found).collect()} == {("e1", "t1"), ("e2", "t3")}
 
 
 def test_sample_keeps_members(spark):

@@ -35,7 +35,7 @@ def dirty(spark, small, tmp_path_factory):
     return root
 
 
-FOUND = ["p1_mix", "p2_found", "p2_splits", "p3_found", "p4_found", "p6_found", "p6_report", "p6_texts", "p7_sample", "p9_found", "p10_found"]
+FOUND = ["p1_mix", "p2_found", "p2_splits", "p3_found", "p4_found", "p6_found", "p6_report", "p6_texts", "p6_overlaps", "p7_sample", "p9_found", "p10_found"]
 
 
 @pytest.mark.parametrize("name", FOUND)
