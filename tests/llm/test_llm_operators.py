@@ -514,3 +514,22 @@ def test_many_items_in_one_search(spark):
     d, q = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     one = {tuple(r) for r in leakage.leaks(d, q).collect()}
     assert len(one) >= 100 and one == {tuple(r) for r in leakage.leaks(d, q, few=20_000).collect()}
+
+
+def test_large_draws_follow_the_distribution(monkeypatch):
+    """The inverted distribution has the mean and the deviation of a hypergeometric one, and draws from more slots than numpy takes."""
+    rng = np.random.default_rng(1)
+    got = np.array([mixing._large_draw(rng, 700, 300, 200) for _ in range(4000)])
+    assert abs(got.mean() - 140) < 0.5 and abs(got.std() - np.sqrt(200 * 0.7 * 0.3 * 800 / 999)) < 0.3 and got.min() >= 0
+    assert {mixing._large_draw(rng, 3, 5, 8), mixing._large_draw(rng, 3, 5, 7)} <= {2, 3}
+    slots = np.array([3_000_000_000, 0, 1_500_000_001, 7], np.int64)
+    shards = -(-int(slots.sum()) // 1024)
+    halves = [mixing._first_half(1, 0, shards, tuple(slots.tolist()), (shards // 2) * 1024)]
+    assert sum(halves[0]) == (shards // 2) * 1024 and abs(halves[0][0] / 1.5e9 - 1) < 1e-3
+    before, own = mixing._shard_counts(shards - 1, shards, slots, 1024, 1)
+    assert ((before + own) == slots).all()
+    monkeypatch.setattr(mixing, "DRAWN", 0)
+    mixing._first_half.cache_clear()
+    total = sum(mixing._shard_counts(k, 12, np.array([700, 0, 313, 90]), 100, 1)[1] for k in range(12))
+    mixing._first_half.cache_clear()
+    assert (total == [700, 0, 313, 90]).all()
