@@ -4,7 +4,8 @@ Texts are put in NFC form without white space; their distinct 5-character string
 ``FUNCTIONS`` x ``BINS`` minima: each hash function sends a string to one of its bins and keeps the least hash
 in each bin (empty bins borrow from the next one). ``BANDS`` bands of ``ROWS`` minima, one row from each of
 eight functions, give candidate pairs; the low 2 bits of every minimum, packed in eight 64-bit words, give a
-similarity corrected for chance agreement from a bit count; what stays is verified on the whole texts.
+similarity corrected for chance agreement from a bit count; what stays is verified on the sets of all strings, each of which is made once and goes
+to the groups of pairs that need it. Texts are never shuffled.
 
 Misses: a pair at similarity 0.85 shares no band with probability (1 - 0.85^8)^32 = 4e-5, less above.
 Copies (equal text after the form above) are one class: candidates and links are found between classes.
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import arrays as A
+from lexmill.llm import bitmap
 from lexmill.operators.pairs import HOT, block_pairs
 from lexmill.session import Stages, broadcast_if
 
@@ -34,6 +36,8 @@ WIDTH = 5
 MARGIN = 0.17
 #: Rows of ids that may be broadcast; more are shuffled.
 SMALL = 200_000
+#: Pairs that are verified together.
+GROUP = 2000
 #: Classes of more copies are given as members and representative.
 COPIES = 1000
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -112,37 +116,57 @@ def _sketch(min_letters: int):
     return run
 
 
-def _verify(threshold: float, most: int = 4 << 20):
-    """Exact similarity on the distinct 5-character strings; the sets of recent texts are kept, up to ``most`` strings."""
+def _sets(sent):
+    """id, grams: the distinct 5-character strings, as sorted hashes, of the texts whose key the bitmap lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
-        size = 0
         for batch in batches:
-            left, right = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            score = np.zeros(len(left))
-            for i, pair in enumerate(zip(left, right)):
-                sets = []
-                for doc, column in zip(pair, (2, 3)):
-                    if doc not in kept:
-                        cps, starts, _ = compact([batch.column(column)[i].as_py()])
-                        if size > most:
-                            kept, size = {d: s for d, s in kept.items() if d in pair}, 0
-                        kept[doc] = np.unique(A.ngrams(cps, starts, WIDTH)[0])
-                        size += len(kept[doc])
-                    sets.append(kept[doc])
-                a, b = sets
-                if min(len(a), len(b)) >= threshold * max(len(a), len(b)):
+            use = bitmap.passed(sent.value, batch.column(1).to_numpy().view(np.uint64))
+            ids, texts = batch.column(0).take(pa.array(use)), batch.column(2).take(pa.array(use)).to_pylist()
+            for a, b in A.slices(texts):
+                cps, starts, _ = compact(texts[a:b])
+                hashes, at = A.ngrams(cps, starts, WIDTH)
+                grams = [np.unique(hashes[at[i] : at[i + 1]]).view(np.int64) for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(grams, pa.list_(pa.int64()))], names=["id", "grams"])
+
+    return run
+
+
+def _verify(threshold: float):
+    """Exact similarity of the pairs of one group, whose sets come once."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        own = dict(zip(sets["id"].to_pylist(), range(len(sets))))
+        grams = sets["grams"].combine_chunks()
+        left, right = pairs["l"].to_pylist(), pairs["r"].to_pylist()
+        score = np.zeros(len(left))
+        for i, (x, y) in enumerate(zip(left, right)):
+            if x in own and y in own:
+                a, b = (grams[own[z]].values.to_numpy() for z in (x, y))
+                if min(len(a), len(b)) >= threshold * max(len(a), len(b), 1):
                     both = np.concatenate([a, b])
                     both.sort(kind="stable")
                     common = int((both[1:] == both[:-1]).sum())
                     score[i] = common / (len(both) - common)
-            ok = pa.array(score >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(score).filter(ok)], names=["l", "r", "similarity"])
+        ok = pa.array(score >= threshold)
+        return pa.table({"l": pairs["l"].filter(ok), "r": pairs["r"].filter(ok), "similarity": pa.array(score).filter(ok)})
 
     return run
 
 
+def _grouped(cand: DataFrame, pairs: int) -> DataFrame:
+    """The pairs (l, r) with their group g of about GROUP pairs. Pairs meet in a group where their left ends have the same least partner, so that a
+    text with many partners goes to few groups; the pairs of a least partner that has too many are cut into blocks of both ends."""
+    ends = F.explode(F.array(F.struct(F.col("l").alias("id")), F.struct(F.col("r").alias("id")))).alias("x")
+    home = cand.select(F.col("l").alias("low"), ends).select("x.id", "low").groupBy("id").agg(F.min("low").alias("home"))
+    homed = cand.join(home.withColumnRenamed("id", "l"), "l")
+    size = homed.groupBy("home").agg(F.ceil(F.sqrt(F.count("*") / GROUP)).cast("int").alias("side"))
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.col("side"))
+    large = F.xxhash64("home", block("l"), block("r"))
+    small = F.pmod(F.xxhash64("home"), F.lit(max(1, -(-pairs // GROUP))))
+    return homed.join(size, "home").select(F.when(F.col("side") > 1, large).otherwise(small).alias("g"), "l", "r")
+
+
 def estimate(left: str, right: str) -> Column:
     """Similarity from the bit count of two packed signatures, corrected for the quarter that agrees by chance."""
     wrong = sum(
@@ -185,29 +209,30 @@ def near_pairs(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_c
         .select("l", "r")
     )
     cand = stages.put(cand)
-    ids = cand.select(F.explode(F.array("l", "r")).alias("id")).distinct()
-    needed = texts.join(broadcast_if(ids, 2 * cand.count(), SMALL), "id", "left_semi")
-    checked = (
-        cand.join(needed.toDF("l", "tl"), "l")
-        .join(needed.toDF("r", "tr"), "r")
-        .select("l", "r", "tl", "tr")
-        .mapInArrow(_verify(threshold), f"l {kind}, r {kind}, similarity double")
-    )
+    grouped = stages.put(_grouped(cand, cand.count()))
+    members_of = stages.put(grouped.select("g", F.explode(F.array("l", "r")).alias("id")).distinct())
+    ids = members_of.select(F.xxhash64("id").alias("key")).distinct()
+    flags = spark.sparkContext.broadcast(bitmap.build(ids, ids.count()))
+    # texts stay where they are: each one that has a candidate is made a set once, and the set goes to the groups of its pairs
+    sets = stages.put(texts.select("id", F.xxhash64("id").alias("key"), "text").mapInArrow(_sets(flags), f"id {kind}, grams array<bigint>").dropDuplicates(["id"]))
+    checked = grouped.groupBy("g").cogroup(members_of.join(sets, "id").select("g", "id", "grams").groupBy("g")).applyInArrow(_verify(threshold), f"l {kind}, r {kind}, similarity double")
     out = stages.put(checked.distinct())
-    stages.drop(live, cand)
+    stages.drop(live, cand, grouped, members_of, sets)
     return NearPairs(out, members, sketch, spare)
 
 
-def expand(found: NearPairs, hot: int = HOT, most: int = COPIES) -> DataFrame:
+def expand(found: NearPairs, hot: int = HOT, most: int | None = None) -> DataFrame:
     """All pairs of ids: links between classes carried over to their members, and the pairs inside each class.
 
-    A class of more than ``most`` copies is not expanded: each of its members is paired with the class's
-    representative, which alone carries its links, so that nothing is lost and the result does not grow with the square of the copies."""
+    Where ``most`` is given, a class of more copies is not expanded: each of its members is paired with the class's
+    representative, which alone carries its links, so that the result does not grow with the square of the copies; ``per_document`` has the
+    membership from which the other pairs follow."""
     size = found.members.groupBy("rep").agg(F.count("*").alias("n"))
     sized = found.members.join(size, "rep")
-    few = sized.where(F.col("n") <= most)
+    many = F.col("n") > most if most is not None else F.lit(False)
+    few = sized.where(~many)
     inside = block_pairs(few, "rep", "id", "n", hot)
-    stars = sized.where((F.col("n") > most) & (F.col("rep") != F.col("id"))).select(F.col("rep").alias("l"), F.col("id").alias("r"))
+    stars = sized.where(many & (F.col("rep") != F.col("id"))).select(F.col("rep").alias("l"), F.col("id").alias("r"))
     own = few.select("rep", "id")
     across = found.pairs.join(own.toDF("l", "li"), "l", "left").join(own.toDF("r", "ri"), "r", "left").select(F.coalesce("li", "l").alias("a"), F.coalesce("ri", "r").alias("b"))
     return inside.unionByName(stars).unionByName(across.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r")))

@@ -86,8 +86,9 @@ def p3_found(s, d):
 
 
 def p4_found(s, d):
+    """Every pair; copies of one text beyond ``neardup.COPIES`` are given with their representative, and ``p4_classes`` has the membership."""
     found = neardup.near_pairs(texts(s, d), 0.85)
-    return neardup.expand(found).toDF("left_doc_id", "right_doc_id")
+    return neardup.expand(found, most=neardup.COPIES).toDF("left_doc_id", "right_doc_id")
 
 
 def p4_classes(s, d):

@@ -231,13 +231,14 @@ def test_counters_equal_their_tokenizers(spark, small):
     assert near <= 0.001 * counter(texts).sum()  # equal but for ties between segmentations of one score
 
 
-def test_budget_counts_copies(spark):
+@pytest.mark.parametrize("small", [1000, 0])
+def test_budget_counts_copies(spark, small):
     class Words:
         def __call__(self, texts):
             return np.array([len(t.split()) for t in texts], np.int64)
 
     rows = [(i, "bir iki üç" if i % 3 else f"tək {i}") for i in range(30)] + [(99, None)]
-    got = {r.id: r.tokens for r in budget.document_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), Words()).collect()}
+    got = {r.id: r.tokens for r in budget.document_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), Words(), small=small).collect()}
     assert got == {i: (0 if t is None else len(t.split())) for i, t in rows}
 
 
@@ -533,3 +534,17 @@ def test_large_draws_follow_the_distribution(monkeypatch):
     total = sum(mixing._shard_counts(k, 12, np.array([700, 0, 313, 90]), 100, 1)[1] for k in range(12))
     mixing._first_half.cache_clear()
     assert (total == [700, 0, 313, 90]).all()
+
+
+@pytest.mark.parametrize("group", [2000, 4])
+def test_near_pairs_in_groups(spark, group, monkeypatch):
+    """A text with very many partners goes to few groups of pairs, and all pairs come out whatever a group's size."""
+    monkeypatch.setattr(neardup, "GROUP", group)
+    rnd = random.Random(41)
+    base = words(rnd, 150)
+    texts = [" ".join(base[:i] + [rnd.choice(WORDS)] + base[i + 1 :]) for i in range(0, 150, 3)]
+    found = neardup.near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 0.85)
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if similarity(texts[i], texts[j]) >= 0.85}
+    assert {(r.l, r.r) for r in neardup.expand(found).collect()} == want and len(want) > 1000
+    grouped = neardup._grouped(found.pairs.select("l", "r"), found.pairs.count())
+    assert grouped.count() == found.pairs.count() and max(r["count"] for r in grouped.groupBy("g").count().collect()) <= 8 * group
