@@ -1,8 +1,7 @@
 """Token budget by source, language, domain and split (problem 5).
 
 Whole texts are hashed; of equal texts the one with the least id is tokenized, and the count goes back to every
-document with that hash. Only hashes and ids are shuffled, never texts (while the ids of further copies are few enough
-to be broadcast; beyond that the texts are shuffled once).
+document with that hash. Only hashes and ids are shuffled, never texts.
 
 Defined results: null and empty texts have 0 tokens and are documents all the same; rows without id are left out; repeated
 rows of an id count once; null sources, languages and domains are slices of their own; a document without a latest
@@ -11,26 +10,55 @@ row in token_counts has a null split.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.tokens import counted
+from lexmill.llm import bitmap
 from lexmill.llm.langid import language_of
 from lexmill.operators.records import latest, spelling, split_name
 from lexmill.session import Stages, broadcast_if
 
+#: Ids that may be broadcast.
 SMALL = 200_000
 
 
-def document_tokens(docs: DataFrame, counter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _passing(sent, wanted: bool):
+    """The rows whose key (second column) the bitmap lets pass, or does not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.full(batch.num_rows, not wanted)
+            keep[bitmap.passed(sent.value, batch.column(1).to_numpy().view(np.uint64))] = wanted
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def document_tokens(docs: DataFrame, counter, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
     """id, tokens for every document; each distinct text is tokenized once."""
     stages = Stages(docs.sparkSession)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = stages.put(texts.select("id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key")).distinct())
     first = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     copies = stages.put(keyed.join(first.where("n > 1"), "key").where("id <> rep").select("id", "rep"))
-    single = texts.join(broadcast_if(copies.select("id"), copies.count(), SMALL), "id", "left_anti")
-    own = stages.put(counted(single, "id", "text", counter))
+    number = copies.count()
+    if number <= small:
+        own = counted(texts.join(F.broadcast(copies.select("id")), "id", "left_anti"), "id", "text", counter)
+    else:
+        # texts stay where they are: rows that a bitmap of the copies stops are no copies, and of those it lets pass the few that are none are read again
+        flags = docs.sparkSession.sparkContext.broadcast(bitmap.build(copies.select(F.xxhash64("id").alias("key")), number))
+        kind = texts.schema["id"].dataType.simpleString()
+        passed = keyed.select("id", F.xxhash64("id").alias("key")).mapInArrow(_passing(flags, True), f"id {kind}, key bigint").select("id")
+        rest = stages.put(passed.join(copies.select("id"), "id", "left_anti"))
+        again = texts.join(broadcast_if(rest, rest.count(), small), "id", "left_semi")
+        plain = texts.select("id", F.xxhash64("id").alias("key"), "text").mapInArrow(_passing(flags, False), f"id {kind}, key bigint, text string")
+        own = counted(plain, "id", "text", counter).unionByName(counted(again, "id", "text", counter))
+    own = stages.put(own)
     shared = copies.join(own.withColumnRenamed("id", "rep"), "rep").select("id", "tokens")
     return own.unionByName(shared).groupBy("id").agg(F.max("tokens").alias("tokens"))
 
