@@ -9,7 +9,9 @@ solves by union-find, or no longer shrinks, when it is contracted by least neigh
 the removed vertices, the last removed first. Long chains and deep trees thus take a number of rounds that
 grows with the logarithm of their length; a hub only costs a counted, pre-aggregated degree.
 
-Everything stays in tables in the shared folder; nothing is collected.
+Everything stays in tables in the shared folder; nothing is collected. The labels of each restored layer are a table of their own, never
+written again. Where a parent or a root holds many rows (a hub with a million leaves, one giant group), its rows are found by a broadcast of the hot keys,
+of which there are few, and not by a task that holds them all.
 
 Defined results: an edge with a null end joins nothing; loops, repeated and reversed edges count once; other
 columns are ignored; no edges give no rows. Each vertex gets the least id of its group.
@@ -18,16 +20,20 @@ columns are ignored; no edges give no rows. Each vertex gets the least id of its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.operators.skew import lookup
 from lexmill.session import Stages
 
 #: Edges of the reduced core that one task may solve.
 CORE_EDGES = 100_000
+#: Tables of labels that are read side by side; more are put into one.
+LAYERS = 24
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -60,33 +66,48 @@ def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["v", "root"])
 
 
+def _jump(arcs: DataFrame) -> DataFrame:
+    """Each step's pointer goes on to where the step it points to points. nv null: the chain has ended, nw is its end; else (nv, nw) is a step that follows."""
+    nxt = arcs.select(F.col("v").alias("nv"), F.col("w").alias("nw"), F.col("nv").alias("nv2"), F.col("nw").alias("nw2"), F.col("low").alias("low2"), F.lit(True).alias("there"))
+    moved = F.col("nv2").isNotNull() & (F.col("low2") < F.col("low")) | F.col("there") & F.col("nv2").isNull()
+    return arcs.join(nxt, ["nv", "nw"], "left").select(
+        "v",
+        "w",
+        F.when(F.col("there"), F.col("nv2")).otherwise(F.col("nv")).alias("nv"),
+        F.when(F.col("there"), F.col("nw2")).otherwise(F.col("nw")).alias("nw"),
+        F.least("low", "low2").alias("low"),
+        (F.col("moved") | F.coalesce(moved, F.lit(False))).alias("moved"),
+    )
+
+
 class _Reducer:
     def __init__(self, edges: DataFrame):
         self.stages = Stages(edges.sparkSession)
         self.edges = edges
         self.count = edges.count()
-        self.hung: list[DataFrame] = []
+        self.hung: list[tuple[DataFrame, int]] = []
 
     def _replace(self, edges: DataFrame) -> None:
         new = self.stages.put(edges)
         self.stages.drop(self.edges)
         self.edges, self.count = new, new.count()
 
-    def _hang(self, removed: DataFrame) -> DataFrame:
+    def _hang(self, removed: DataFrame) -> int:
         table = self.stages.put(removed)
-        self.hung.append(table)
-        return table
+        if n := table.count():
+            self.hung.append((table, n))
+        else:
+            self.stages.drop(table)
+        return n
 
     def strip(self) -> bool:
         """One layer of leaves; of a lone pair the larger id is the leaf."""
         both = _both(self.edges)
         leaves = both.groupBy("v").agg(F.count("*").alias("n"), F.min("w").alias("parent")).where("n = 1").select("v", "parent")
         other = leaves.select(F.col("v").alias("parent"), F.col("parent").alias("v"), F.lit(True).alias("lone"))
-        removed = self._hang(leaves.join(other, ["v", "parent"], "left").where("lone is null or v > parent").select("v", "parent"))
-        if removed.isEmpty():
-            self.hung.pop()
+        if not self._hang(leaves.join(other, ["v", "parent"], "left").where("lone is null or v > parent").select("v", "parent")):
             return False
-        gone = removed.select(F.least("v", "parent").alias("a"), F.greatest("v", "parent").alias("b"))
+        gone = self.hung[-1][0].select(F.least("v", "parent").alias("a"), F.greatest("v", "parent").alias("b"))
         self._replace(self.edges.join(gone, ["a", "b"], "left_anti"))
         return True
 
@@ -95,6 +116,7 @@ class _Reducer:
         both = _both(self.edges)
         inner = self.stages.put(both.groupBy("v").agg(F.count("*").alias("n"), F.min("w").alias("x"), F.max("w").alias("y")).where("n = 2").select("v", "x", "y"))
         if inner.isEmpty():
+            self.stages.drop(inner)
             return False
         # a state is a step that leaves an inner vertex: from v to w; it goes on if w is inner too
         steps = inner.select("v", F.explode(F.array("x", "y")).alias("w"))
@@ -103,24 +125,12 @@ class _Reducer:
             "v", "w", F.when(F.col("x").isNotNull(), F.col("w")).alias("nv"), F.when(F.col("x") == F.col("v"), F.col("y")).otherwise(F.col("x")).alias("nw"), F.least("v", "w").alias("low")
         )
         arcs = self.stages.put(arcs.select("v", "w", "nv", F.when(F.col("nv").isNotNull(), F.col("nw")).otherwise(F.col("w")).alias("nw"), "low"))
-        while True:
-            # nv null: the chain has ended, nw is its end. Else (nv, nw) is the step that follows.
-            nxt = arcs.select(F.col("v").alias("nv"), F.col("w").alias("nw"), F.col("nv").alias("nv2"), F.col("nw").alias("nw2"), F.col("low").alias("low2"), F.lit(True).alias("there"))
-            jumped = arcs.join(nxt, ["nv", "nw"], "left").select(
-                "v",
-                "w",
-                F.when(F.col("there"), F.col("nv2")).otherwise(F.col("nv")).alias("nv"),
-                F.when(F.col("there"), F.col("nw2")).otherwise(F.col("nw")).alias("nw"),
-                F.least("low", "low2").alias("low"),
-                (F.col("nv2").isNotNull() & (F.col("low2") < F.col("low"))).alias("moved"),
-                (F.col("there") & F.col("nv2").isNull()).alias("ended"),
-            )
-            jumped = self.stages.put(jumped)
-            going = not jumped.where("moved or ended").isEmpty()
+        going = True
+        while going:
+            jumped = self.stages.put(_jump(_jump(arcs.withColumn("moved", F.lit(False)))))  # two doublings to a table
+            going = not jumped.where("moved").isEmpty()
             self.stages.drop(arcs)
             arcs = jumped
-            if not going:
-                break
         ends = arcs.groupBy("v").agg(F.min("nw").alias("lo"), F.max("nw").alias("hi"), F.min("low").alias("low"), F.bool_or(F.col("nv").isNotNull()).alias("closed"))
         ends = self.stages.put(ends)
         removed = self._hang(ends.select("v", F.when(F.col("closed"), F.col("low")).otherwise(F.col("lo")).alias("parent")).where("v <> parent"))
@@ -128,7 +138,7 @@ class _Reducer:
         rest = _gone(self.edges, inner.select("v"))
         self._replace(rest.unionByName(bridges).distinct())
         self.stages.drop(inner, arcs, ends)
-        return not removed.isEmpty()
+        return removed > 0
 
     def contract(self) -> None:
         """One round on a core without leaves or chains: each vertex points to its least neighbour if that is less,
@@ -143,10 +153,10 @@ class _Reducer:
             if not going:
                 break
             self.stages.at[id(up)] = self.stages.at.pop(id(jumped))
-        self.hung.append(up)
+        self.hung.append((up, up.count()))
         move = self.edges
         for side in ("a", "b"):
-            move = move.join(up.select(F.col("v").alias(side), "parent"), side, "left").withColumn(side, F.coalesce("parent", side)).select("a", "b")
+            move = lookup(move, up.select(F.col("v").alias(side), "parent"), side, self.count, "left").withColumn(side, F.coalesce("parent", side)).select("a", "b")
         self._replace(move.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
@@ -174,21 +184,27 @@ def groups(edges: DataFrame, left: str = "left_rowid", right: str = "right_rowid
             break
         if work.count > 0.9 * before:
             work.contract()
-    if work.count:
-        core = work.edges.coalesce(1).mapInArrow(union_find, "v bigint, root bigint")
-        labels = work.stages.put(core)
-    else:
-        labels = work.edges.select(F.col("a").alias("v"), F.col("b").alias("root")).where("false")
-    for removed in reversed(work.hung):
+    parts = [work.stages.put(work.edges.coalesce(1).mapInArrow(union_find, "v bigint, root bigint"))] if work.count else []
+    for removed, n in reversed(work.hung):
         # a parent that has no label yet was left without edges: it is the root of what hangs on it
-        own = removed.join(labels.select(F.col("v").alias("parent"), "root"), "parent", "left").select("v", "parent", F.coalesce("root", "parent").alias("root"), F.col("root").isNull().alias("top"))
-        own = work.stages.put(own)
+        if parts:
+            own = lookup(removed, _union(parts).select(F.col("v").alias("parent"), "root"), "parent", n, "left")
+        else:
+            own = removed.withColumn("root", F.lit(None).cast("bigint"))
+        own = work.stages.put(own.select("v", "parent", F.coalesce("root", "parent").alias("root"), F.col("root").isNull().alias("top")))
         heads = own.where("top").select(F.col("parent").alias("v"), F.col("parent").alias("root")).distinct()
-        new = work.stages.put(labels.unionByName(own.select("v", "root")).unionByName(heads))
-        work.stages.drop(labels, own)
-        labels = new
+        parts += [own.select("v", "root"), heads]
+        if len(parts) > LAYERS:
+            parts = [work.stages.put(_union(parts))]
+    if not parts:
+        return work.edges.select(F.col("a").alias("rowid"), F.col("b").alias("group_rowid")).where("false")
+    labels = work.stages.put(_union(parts)) if len(parts) > 1 else parts[0]
     least = labels.groupBy("root").agg(F.min("v").alias("group_rowid"))
-    return labels.join(least, "root").select(F.col("v").alias("rowid"), "group_rowid")
+    return lookup(labels, least, "root", labels.count()).select(F.col("v").alias("rowid"), "group_rowid")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def matched(edges: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -548,3 +548,12 @@ def test_near_pairs_in_groups(spark, group, monkeypatch):
     assert {(r.l, r.r) for r in neardup.expand(found).collect()} == want and len(want) > 1000
     grouped = neardup._grouped(found.pairs.select("l", "r"), found.pairs.count())
     assert grouped.count() == found.pairs.count() and max(r["count"] for r in grouped.groupBy("g").count().collect()) <= 8 * group
+
+
+def test_star_of_a_million_leaves(spark):
+    """A hub's leaves are joined to its label by a broadcast of the hub."""
+    leaves = 1_000_000
+    edges = spark.range(1, leaves + 1).select(F.lit(0).cast("bigint").alias("left_rowid"), F.col("id").alias("right_rowid"))
+    edges = edges.unionByName(spark.range(5).select((F.col("id") + leaves).alias("left_rowid"), (F.col("id") + leaves + 1).alias("right_rowid")))
+    got = components.groups(edges).agg(F.count("*"), F.count_distinct("rowid"), F.max("group_rowid")).first()
+    assert got == (leaves + 6, leaves + 6, 0)
