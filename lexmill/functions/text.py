@@ -53,8 +53,9 @@ def letters(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Runs of anything but white space."""
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+    """Runs of anything but white space: one more than the single spaces that compacting leaves. (Counting the runs' matches would make a string of each.)"""
+    words = compact(text)
+    return F.when(words == "", 0).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
 
 
 def quality_flags(text: Column) -> Column:

@@ -5,12 +5,15 @@ Defined results: documents whose text is null take part in nothing; no documents
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import arrays as A
 from lexmill.functions import fingerprint, ids, text
 from lexmill.operators.components import components
 from lexmill.operators.pairs import block_pairs
+from lexmill.operators.similarity import scored
 from lexmill.session import Stages
 
 THRESHOLD = 0.95
@@ -18,7 +21,7 @@ THRESHOLD = 0.95
 
 def bands(docs: DataFrame) -> DataFrame:
     """doc, band, key for documents (row_index, text). Written once: each document's fingerprint is computed once."""
-    keys = docs.select(F.col("row_index").alias("doc"), F.posexplode(fingerprint.bands_of(F.col("text"))).alias("band", "key"))
+    keys = docs.select(F.col("row_index").alias("doc"), fingerprint.prints_of(F.col("text")).alias("print")).select("doc", F.posexplode(fingerprint.band_keys(F.col("print"))).alias("band", "key"))
     return Stages(docs.sparkSession).put(keys)
 
 
@@ -53,14 +56,21 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     """l, r, similarity of pairs whose lengths and shingle sets agree to the threshold; lengths are compared before texts are read."""
     slim = docs.select(F.col("row_index").alias("d"), F.length("text").alias("n"))
     lengths = pairs.join(slim.toDF("l", "nl"), "l").join(slim.toDF("r", "nr"), "r").where(F.least("nl", "nr") / F.greatest("nl", "nr") >= threshold).select("l", "r")
-    lengths = Stages(docs.sparkSession).put(lengths)
-    used = lengths.select(F.explode(F.array("l", "r")).alias("row_index")).distinct()
-    sets = docs.join(used, "row_index", "left_semi").select(F.col("row_index").alias("d"), F.transform(text.shingles(F.col("text")), lambda s: F.xxhash64(s)).alias("s"))
-    met = lengths.join(sets.toDF("l", "a"), "l").join(sets.toDF("r", "b"), "r")
-    common = F.size(F.array_intersect("a", "b"))
-    scored = met.select("l", "r", F.size("a").alias("na"), F.size("b").alias("nb"), common.alias("m"))
-    similarity = F.when(F.col("na") + F.col("nb") == 0, 1.0).otherwise(F.col("m") / (F.col("na") + F.col("nb") - F.col("m")))
-    return scored.select("l", "r", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    return scored(lengths, docs.select(F.col("row_index").alias("id"), "text"), threshold, _shingles)
+
+
+def _shingles(texts: list[str], width: int = text.WIDTH) -> list[np.ndarray]:
+    """Of each text the distinct hashes of what ``text.shingles`` gives."""
+    words = [" ".join(t.split()) for t in texts]
+    cps, starts = A.points(words)
+    hashes, at = A.ngrams(cps, starts, width)
+    short = {i: A.mix(np.array([hash_of(w)], np.uint64)) for i, w in enumerate(words) if 0 < len(w) < width}
+    return [short.get(i, np.unique(hashes[at[i] : at[i + 1]])) for i in range(len(words))]
+
+
+def hash_of(word: str) -> int:
+    """A number for a string shorter than a shingle, the same in every process."""
+    return int.from_bytes(word.encode("utf-32-le", "surrogatepass").ljust(16, b"\xff"), "little") % 0xFFFFFFFFFFFFFFC5
 
 
 def exact_edges(docs: DataFrame, threshold: float) -> DataFrame:

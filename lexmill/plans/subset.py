@@ -94,16 +94,39 @@ def quota_selection(s, d):
     return _chosen(s, d)[0]
 
 
-@query()
+REDISTRIBUTED = f"""with recursive {SELECTED.replace(f"* {SHARE}::double", f"* {PLENTY}::double").rsplit("chosen as", 1)[0].rstrip().rstrip(",")},
+order_ as (select * from (values ('News', 0, 0.25::double), ('Native Wikipedia', 1, 0.20::double), ('Books', 2, 0.30::double), ('Laws', 3, 0.15::double), ('Blogs', 4, null)) v(source_group, i, w)),
+have as (select o.source_group, i, w, coalesce(sum(token_count), 0)::bigint have from order_ o left join placed p on p.source_group = o.source_group group by all),
+cuts as (select source_group, before, before + token_count after from placed where token_count > 0),
+rounds(k, lists, was) as (
+    select 0, (select list(struct_pack(g := h.source_group, i := h.i, w := h.w, have := h.have, lim := q.q::bigint, got := coalesce((select max(after) from cuts c where c.source_group = h.source_group and c.before < q.q), 0)::bigint) order by h.i)
+        from have h join quota q using (source_group)), -1::bigint
+    union all
+    select k + 1, (
+        select list(struct_pack(g := x.g, i := x.i, w := x.w, have := x.have, lim := x.lim, got := coalesce((select max(after) from cuts c where c.source_group = x.g and c.before < x.lim), 0)::bigint) order by x.i) from (
+            select g, i, w, have, case when not open_ then lim else got + floor(lack * w / total_w)::bigint + case when i = first_ then lack - sum(case when open_ then floor(lack * w / total_w)::bigint else 0 end) over () else 0 end end::bigint lim
+            from (select *, sum(case when open_ then w end) over () total_w, min(case when open_ then i end) over () first_ from (
+                select u.*, (select max(target) from quota0) - sum(u.got) over () lack, u.w is not null and not (u.got = u.have and u.got < u.lim) open_ from (select unnest(lists, recursive := true))  u))
+        ) x), list_sum(list_transform(lists, lambda z: z.got))::bigint
+    from rounds where k < 20 and list_sum(list_transform(lists, lambda z: z.got)) < (select max(target) from quota0) and list_sum(list_transform(lists, lambda z: z.got)) <> was
+        and len(list_filter(lists, lambda z: z.w is not null and not (z.got = z.have and z.got < z.lim))) > 0
+),
+limits as (select k, unnest(lists, recursive := true) from rounds),
+phased as (select p.document_id, min(l.k) k from placed p join limits l on l.g = p.source_group and p.before < l.lim group by 1)
+select document_id, source, source_group, token_count, case k when 0 then 'requested_quota' else 'redistribution_' || k end selection_phase, sampling_rank from phased join placed using (document_id)"""
+
+
+@query(REDISTRIBUTED)
 def quota_redistribution(s, d):
     return _chosen(s, d, PLENTY)[0]
 
 
 @query(f"""with {SELECTED}, have as (select source_group, sum(token_count)::bigint available from pool group by 1), got as (select source_group, sum(token_count)::bigint selected from chosen group by 1)
-select q.source_group, coalesce(available, 0) available, q.q::bigint requested, coalesce(selected, 0) selected, greatest(0, q.q - coalesce(available, 0))::bigint shortage from quota q left join have using (source_group) left join got using (source_group)""")
+select q.source_group, coalesce(available, 0) available, q.q::bigint requested, coalesce(selected, 0) selected, greatest(0, q.q - coalesce(available, 0))::bigint shortage,
+    round(coalesce(selected, 0) / greatest(1, sum(coalesce(selected, 0)) over ()), 9) proportion from quota q left join have using (source_group) left join got using (source_group)""")
 def group_shortage(s, d):
     rows = [tuple(r.values()) for r in _chosen(s, d)[1]]
-    return s.createDataFrame(rows, "source_group string, available bigint, requested bigint, selected bigint, shortage bigint")
+    return s.createDataFrame(rows, "source_group string, available bigint, requested bigint, selected bigint, shortage bigint, proportion double").withColumn("proportion", F.round("proportion", 9))
 
 
 @query(f"with {STREAM} select sampling_order, document_id, token_count, tokens_before from stream")

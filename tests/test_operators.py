@@ -75,7 +75,7 @@ def test_ids(spark):
     assert 4400 < n["train"] < 4600 and 200 < n["validation"] < 300 and 200 < n["test"] < 300
 
 
-def test_fingerprint_rules():
+def test_fingerprint_rules(spark):
     assert fingerprint.bottom_k("  ") == list(range(32))
     short = fingerprint.bottom_k("abc")
     assert short[0] == int.from_bytes(hashlib.sha256(b"abc").digest()[:8], "big") and len(short) == 32 and short[1] > 1 << 64
@@ -83,8 +83,23 @@ def test_fingerprint_rules():
     want = sorted({sum(ord(c) * 1000003 ** (4 - k) for k, c in enumerate(t[i : i + 5])) % (1 << 64) for i in range(len(t) - 4)})[:32]
     assert fingerprint.bottom_k(t) == want
     assert fingerprint.bottom_k("ab" * 3000)[:2] == sorted(set(fingerprint.bottom_k("ab" * 3000)))[:2]
+    many = ["abc", t, "", "x" * 5000, "abcde", "abcdef " * 2]
+    values, count = fingerprint.fingerprints(many)
+    assert [[int(v) + ((1 << 64) if i >= n else 0) for i, v in enumerate(row)] for row, n in zip(values, count)] == [fingerprint.bottom_k(x) for x in many]
     with pytest.raises(ValueError):
-        fingerprint.band_keys(want, 5)
+        fingerprint.band_keys(F.col("x"), bands=5)
+
+
+def test_band_keys(spark):
+    texts = ["abc", " ".join(f"söz{i}" for i in range(400)), ""]
+
+    def keys(values):
+        raw = b"".join((v & (1 << 64) - 1).to_bytes(8, "big") for v in values)
+        return [hashlib.sha256(raw[i : i + 32]).hexdigest()[:32] for i in range(0, 256, 32)]
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    got = {r.i: r.k for r in df.select("i", fingerprint.prints_of(F.col("t")).alias("p")).select("i", fingerprint.band_keys(F.col("p")).alias("k")).collect()}
+    assert got == {**{i: keys(fingerprint.bottom_k(t)) for i, t in enumerate(texts)}, 3: None}
 
 
 def test_block_pairs_are_complete(spark):
