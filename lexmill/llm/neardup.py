@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm import arrays as A
-from lexmill.llm import bitmap
+from lexmill.functions import arrays as A
 from lexmill.operators.pairs import HOT, block_pairs
+from lexmill.operators.similarity import scored
 from lexmill.session import Stages, broadcast_if
 
 FUNCTIONS, BINS, BANDS, ROWS, WORDS = 16, 16, 32, 8, 8
@@ -36,8 +36,6 @@ WIDTH = 5
 MARGIN = 0.17
 #: Rows of ids that may be broadcast; more are shuffled.
 SMALL = 200_000
-#: Pairs that are verified together.
-GROUP = 2000
 #: Classes of more copies are given as members and representative.
 COPIES = 1000
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -116,55 +114,11 @@ def _sketch(min_letters: int):
     return run
 
 
-def _sets(sent):
-    """id, grams: the distinct 5-character strings, as sorted hashes, of the texts whose key the bitmap lets pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            use = bitmap.passed(sent.value, batch.column(1).to_numpy().view(np.uint64))
-            ids, texts = batch.column(0).take(pa.array(use)), batch.column(2).take(pa.array(use)).to_pylist()
-            for a, b in A.slices(texts):
-                cps, starts, _ = compact(texts[a:b])
-                hashes, at = A.ngrams(cps, starts, WIDTH)
-                grams = [np.unique(hashes[at[i] : at[i + 1]]).view(np.int64) for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(grams, pa.list_(pa.int64()))], names=["id", "grams"])
-
-    return run
-
-
-def _verify(threshold: float):
-    """Exact similarity of the pairs of one group, whose sets come once."""
-
-    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        own = dict(zip(sets["id"].to_pylist(), range(len(sets))))
-        grams = sets["grams"].combine_chunks()
-        left, right = pairs["l"].to_pylist(), pairs["r"].to_pylist()
-        score = np.zeros(len(left))
-        for i, (x, y) in enumerate(zip(left, right)):
-            if x in own and y in own:
-                a, b = (grams[own[z]].values.to_numpy() for z in (x, y))
-                if min(len(a), len(b)) >= threshold * max(len(a), len(b), 1):
-                    both = np.concatenate([a, b])
-                    both.sort(kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
-                    score[i] = common / (len(both) - common)
-        ok = pa.array(score >= threshold)
-        return pa.table({"l": pairs["l"].filter(ok), "r": pairs["r"].filter(ok), "similarity": pa.array(score).filter(ok)})
-
-    return run
-
-
-def _grouped(cand: DataFrame, pairs: int) -> DataFrame:
-    """The pairs (l, r) with their group g of about GROUP pairs. Pairs meet in a group where their left ends have the same least partner, so that a
-    text with many partners goes to few groups; the pairs of a least partner that has too many are cut into blocks of both ends."""
-    ends = F.explode(F.array(F.struct(F.col("l").alias("id")), F.struct(F.col("r").alias("id")))).alias("x")
-    home = cand.select(F.col("l").alias("low"), ends).select("x.id", "low").groupBy("id").agg(F.min("low").alias("home"))
-    homed = cand.join(home.withColumnRenamed("id", "l"), "l")
-    size = homed.groupBy("home").agg(F.ceil(F.sqrt(F.count("*") / GROUP)).cast("int").alias("side"))
-    block = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.col("side"))
-    large = F.xxhash64("home", block("l"), block("r"))
-    small = F.pmod(F.xxhash64("home"), F.lit(max(1, -(-pairs // GROUP))))
-    return homed.join(size, "home").select(F.when(F.col("side") > 1, large).otherwise(small).alias("g"), "l", "r")
+def _grams(texts: list[str]) -> list[np.ndarray]:
+    """The distinct 5-character strings of each text, as sorted hashes."""
+    cps, starts, _ = compact(texts)
+    hashes, at = A.ngrams(cps, starts, WIDTH)
+    return [np.unique(hashes[at[i] : at[i + 1]]) for i in range(len(texts))]
 
 
 def estimate(left: str, right: str) -> Column:
@@ -209,15 +163,9 @@ def near_pairs(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_c
         .select("l", "r")
     )
     cand = stages.put(cand)
-    grouped = stages.put(_grouped(cand, cand.count()))
-    members_of = stages.put(grouped.select("g", F.explode(F.array("l", "r")).alias("id")).distinct())
-    ids = members_of.select(F.xxhash64("id").alias("key")).distinct()
-    flags = spark.sparkContext.broadcast(bitmap.build(ids, ids.count()))
-    # texts stay where they are: each one that has a candidate is made a set once, and the set goes to the groups of its pairs
-    sets = stages.put(texts.select("id", F.xxhash64("id").alias("key"), "text").mapInArrow(_sets(flags), f"id {kind}, grams array<bigint>").dropDuplicates(["id"]))
-    checked = grouped.groupBy("g").cogroup(members_of.join(sets, "id").select("g", "id", "grams").groupBy("g")).applyInArrow(_verify(threshold), f"l {kind}, r {kind}, similarity double")
+    checked = scored(cand, texts, threshold, _grams)
     out = stages.put(checked.distinct())
-    stages.drop(live, cand, grouped, members_of, sets)
+    stages.drop(live, cand)
     return NearPairs(out, members, sketch, spare)
 
 

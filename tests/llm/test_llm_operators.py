@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import tokens
 from lexmill.llm import budget, components, langid, leakage, mixing, neardup, overlap, packing, sampling, splits
 from lexmill.llm.queries import TOKENIZERS, public_counter
+from lexmill.operators import similarity as similarity_
 from lexmill.session import table
 
 WORDS = [a + b for a in ("kit", "qal", "bul", "şəh", "yol", "dəm", "gül", "çör", "öyr", "iş") for b in ("ab", "ada", "aqlar", "ərdə", "imiz", "dən", "lik", "ünü", "ac", "əyin")]
@@ -113,7 +114,7 @@ def test_estimate_is_near_the_truth(spark):
     rnd = random.Random(6)
     base = words(rnd, 200)
     texts = [" ".join(base)] + [" ".join(base[k:] + words(rnd, k)) for k in (5, 20, 60)]
-    from lexmill.llm import arrays as A
+    from lexmill.functions import arrays as A
 
     cps, starts, _ = neardup.compact(texts)
     sig = neardup.signatures(*A.ngrams(cps, starts, 5))
@@ -539,14 +540,14 @@ def test_large_draws_follow_the_distribution(monkeypatch):
 @pytest.mark.parametrize("group", [2000, 4])
 def test_near_pairs_in_groups(spark, group, monkeypatch):
     """A text with very many partners goes to few groups of pairs, and all pairs come out whatever a group's size."""
-    monkeypatch.setattr(neardup, "GROUP", group)
+    monkeypatch.setattr(similarity_, "GROUP", group)
     rnd = random.Random(41)
     base = words(rnd, 150)
     texts = [" ".join(base[:i] + [rnd.choice(WORDS)] + base[i + 1 :]) for i in range(0, 150, 3)]
     found = neardup.near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 0.85)
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if similarity(texts[i], texts[j]) >= 0.85}
     assert {(r.l, r.r) for r in neardup.expand(found).collect()} == want and len(want) > 1000
-    grouped = neardup._grouped(found.pairs.select("l", "r"), found.pairs.count())
+    grouped = similarity_.grouped(found.pairs.select("l", "r"), found.pairs.count())
     assert grouped.count() == found.pairs.count() and max(r["count"] for r in grouped.groupBy("g").count().collect()) <= 8 * group
 
 
