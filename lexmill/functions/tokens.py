@@ -11,6 +11,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -118,6 +119,66 @@ def counted(rows: DataFrame, key: str, text: str, counter) -> DataFrame:
     return rows.select(key, F.col(text)).mapInArrow(run, f"{key} {kind}, tokens bigint")
 
 
+class PieceEncoder:
+    """Ids of the same segmentation: pieces are (piece, score, id); characters that no piece has become one unknown id for each run."""
+
+    def __init__(self, pieces: list[tuple[str, float, int]], unknown: int = 0):
+        self.pieces, self.unknown = pieces, unknown
+        self.kept: _Kept | None = None
+
+    def __getstate__(self):
+        return {"pieces": self.pieces, "unknown": self.unknown, "kept": None}
+
+    def _open(self) -> _Kept:
+        table = {p: (s, n) for p, s, n in self.pieces if p}
+        longest = max(map(len, table), default=1)
+        bad = min((s for s, _ in table.values()), default=0.0) - 10
+
+        def encode(word: str) -> tuple[int, ...]:
+            w = "▁" + word
+            n = len(w)
+            score, lost = [0.0] + [-math.inf] * n, [False] * (n + 1)
+            back: list[tuple[int, int | None]] = [(0, None)] * (n + 1)  # where the last token begins, and its id; None goes on with an unknown run
+            for i in range(n):
+                single = False
+                for j in range(i + 1, min(n, i + longest) + 1):
+                    if (hit := table.get(w[i:j])) is not None:
+                        single |= j == i + 1
+                        if score[i] + hit[0] > score[j]:
+                            score[j], back[j], lost[j] = score[i] + hit[0], (i, hit[1]), False
+                if not single and score[i] + bad > score[i + 1]:
+                    score[i + 1], back[i + 1], lost[i + 1] = score[i] + bad, (i, None if lost[i] else self.unknown), True
+            out = []
+            while n:
+                n, token = back[n]
+                if token is not None:
+                    out.append(token)
+            return tuple(reversed(out))
+
+        return _Kept(encode)
+
+    def words(self, words: list[str]) -> list[tuple[int, ...]]:
+        if self.kept is None:
+            self.kept = self._open()
+        return [self.kept[w] for w in words]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.fromiter(chain.from_iterable(self.words(unicodedata.normalize("NFC", t).split())), np.int32) for t in texts]
+
+
+def encoded_ids(rows: DataFrame, key: str, text: str, encoder: PieceEncoder, end: int | None = None) -> DataFrame:
+    """key, ids: the token ids of each text, with the end mark if given; null texts have none but it."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = encoder([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+
+    out = rows.select(key, F.col(text)).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return out if end is None else out.withColumn("ids", F.array_append("ids", F.lit(end)))
+
+
 #: Pieces of a vocabulary; a larger table is no vocabulary.
 PIECES = 1_000_000
 
@@ -131,6 +192,14 @@ def piece_counter(pieces: DataFrame) -> PieceCounter:
     return PieceCounter([("" if r.piece_id == 1 else r.piece, r.score) for r in rows], unknown)
 
 
+def piece_encoder(pieces: DataFrame) -> PieceEncoder:
+    """The encoder of the same table."""
+    rows = pieces.where("piece is not null and score is not null and piece_id > 1").orderBy("piece_id").limit(PIECES + 1).select("piece", "score", "piece_id").collect()
+    if len(rows) > PIECES:
+        raise ValueError(f"a vocabulary has at most {PIECES} pieces")
+    return PieceEncoder([tuple(r) for r in rows])
+
+
 def encoded(rows: DataFrame, key: str, text: str, counter: PieceCounter) -> DataFrame:
     """key, token_count (with the end mark), unknown_tokens."""
     kind = rows.schema[key].dataType.simpleString()

@@ -32,6 +32,12 @@ def nearest_rank(rows: DataFrame, group: str, value: Column, levels=LEVELS) -> D
     """group, level, value: the least value at which max(1, int(n p + 0.999999)) rows are reached. Counted from a histogram of
     values, which is as long as there are different values, not rows."""
     hist = rows.select(F.col(group), value.alias("v")).where("v is not null").groupBy(group, "v").agg(F.count("*").alias("n"))
+    return nearest_rank_counts(hist, group, "v", "n", levels)
+
+
+def nearest_rank_counts(counts: DataFrame, group: str, value: str, count: str, levels=LEVELS) -> DataFrame:
+    """The same of a table of values and how often each stands; values may repeat."""
+    hist = counts.groupBy(F.col(group), F.col(value).alias("v")).agg(F.sum(count).alias("n"))
     upto = Window.partitionBy(group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(group)
     cum = hist.select(group, "v", F.sum("n").over(upto).alias("c"), F.sum("n").over(whole).alias("total"))

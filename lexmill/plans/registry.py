@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import corpus, evaluation, subset
+from lexmill.plans import corpus, evaluation, subset, tokens
 
-MODULES = (corpus, subset, evaluation)
+MODULES = (corpus, subset, tokens, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import ids, text
-from lexmill.functions.tokens import encoded, piece_counter
 from lexmill.operators import evaluation, records, subset
 from lexmill.plans.corpus import UNIQUE, unique
 from lexmill.session import table
@@ -197,24 +196,3 @@ def token_quantiles(s, d):
     rows = counts(s, d).where("token_count is not null").groupBy("source")
     got = rows.agg(*[F.expr(f"percentile_disc({p}) within group (order by token_count)").cast("bigint").alias(str(i)) for i, p in enumerate((0.5, 0.95, 0.99))])
     return got.select("source", F.explode(F.array(*[F.struct(F.lit(p).alias("level"), F.col(str(i)).alias("tokens")) for i, p in enumerate((0.5, 0.95, 0.99))])).alias("x")).select("source", "x.*")
-
-
-def _encoded(s, d):
-    docs = unique(s, d)
-    return docs, encoded(docs, "document_id", "text", piece_counter(table(s, d, "tokenizer_pieces")))
-
-
-@query()
-def encoded_token_counts(s, d):
-    """token_count with the end mark, and unknown tokens, of every kept text under the vocabulary of the tables."""
-    return _encoded(s, d)[1]
-
-
-@query()
-def tokenizer_fertility(s, d):
-    """Tokens a word, characters a token and the share of unknown tokens, of each source and of all."""
-    docs, got = _encoded(s, d)
-    rows = docs.select("document_id", "source", F.length("text").alias("c"), text.word_count(F.col("text")).alias("w")).join(got, "document_id")
-    sums = rows.rollup("source").agg(F.count("*").alias("documents"), F.sum("token_count").alias("t"), F.sum("w").alias("w"), F.sum("c").alias("c"), F.sum("unknown_tokens").alias("u"), F.grouping("source").alias("g"))
-    plain = F.col("t") - F.col("documents")
-    return sums.select(F.when(F.col("g") == 1, "*").otherwise(F.col("source")).alias("source"), "documents", (plain / F.greatest("w", F.lit(1))).alias("tokens_per_word"), (F.col("c") / F.greatest(plain, F.lit(1))).alias("characters_per_token"), (F.col("u") / F.greatest(plain, F.lit(1))).alias("unknown_rate"), (F.col("u") <= 0.001 * plain).alias("passes_gate"))
