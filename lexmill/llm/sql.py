@@ -1,11 +1,18 @@
 """SQL for DuckDB that gives the same results as the llm queries, where SQL can express them on whole tables."""
 
 from lexmill.llm.langid import NAMES
-from lexmill.plans.corpus import NFC
+from lexmill.plans.corpus import NFC, SP
 from lexmill.plans.subset import COUNTS
+from lexmill.plans.tokens import SEGMENTED
 
 LANGUAGE = "case regexp_extract(lower(trim(lang)), '^[^-_ (,;/.]*') " + " ".join(f"when '{x}' then '{k}'" for k, names in NAMES.items() for x in names) + " end"
 
+COUNTED = rf"""
+tok as (select doc_id, unnest(ws) word, generate_subscripts(ws, 1) p from (select doc_id, regexp_extract_all({NFC}, '[^{SP}]+') ws from documents where doc_id is not null)),
+{SEGMENTED},
+sized as (select doc_id, coalesce(n, 0)::bigint tokens from (select distinct doc_id from documents where doc_id is not null) left join (select doc_id, sum(len(ids)) n from tok join best using (word) group by 1) using (doc_id))
+"""
+
 LATEST = """
 latest as (
     select document_id, max(struct_pack(counted_at := counted_at, source := source, source_group := source_group, split := split, token_count := token_count)) r
@@ -88,6 +95,18 @@ x as (select source, lang, "domain", c.split split from own left join counts c u
 select case when grouping(source) = 1 then '*' else source end source, case when grouping(lang) = 1 then '*' else lang end lang, case when grouping("domain") = 1 then '*' else "domain" end "domain",
     case when grouping(split) = 1 then '*' else split end split, count(*) documents, true adds_up
 from x group by grouping sets ((source, lang, "domain", split), (source), (lang), ("domain"), (split), ())
+""",
+        "p5_documents": f"with {COUNTED} select doc_id, tokens, tokens + 1 token_count from sized",
+        "p5_budget": f"""
+with {LATEST}, {COUNTED},
+own as (
+    select doc_id, min(document_id) document_id, min(nullif(regexp_replace(lower(trim(source)), '[\\s_-]+', '-', 'g'), '')) source, min({LANGUAGE}) lang, min(lower(trim(domain))) "domain"
+    from documents where doc_id is not null group by doc_id
+),
+x as (select source, lang, "domain", c.split split, tokens from own join sized using (doc_id) left join counts c using (document_id))
+select case when grouping(source) = 1 then '*' else source end source, case when grouping(lang) = 1 then '*' else lang end lang, case when grouping("domain") = 1 then '*' else "domain" end "domain",
+    case when grouping(split) = 1 then '*' else split end split, count(*) documents, sum(tokens)::bigint tokens, (sum(tokens) + count(*))::bigint token_count
+from x group by grouping sets ((source, lang, "domain", split), (source), (lang), ("domain"), (split), ())
 """,
         "p8_check": "select count(distinct doc_id) texts, 0 over_capacity, 0 overlapping, 0 cut_but_fitting, 0 wrong_totals from documents",
         "p10_check": rf"""
