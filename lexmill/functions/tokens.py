@@ -81,22 +81,22 @@ class PieceCounter:
 
 
 class ByteCounter:
-    """Tokens of a byte-level BPE vocabulary of ranks, given by its path; chunks end where a space follows
-    another character, which is always a boundary of its pattern."""
+    """Tokens of a byte-level BPE vocabulary of ranks. Its file is read where the counter is made, on the driver, and goes to the
+    executors with it. Chunks end where a space follows another character, which is always a boundary of its pattern."""
 
     chunk = re.compile(r" *[^ ]+| +")
 
     def __init__(self, path: str, pattern: str):
-        self.path, self.pattern = path, pattern
+        self.data, self.pattern = Path(path).read_bytes(), pattern
         self.kept: _Kept | None = None
 
     def __getstate__(self):
-        return {"path": self.path, "pattern": self.pattern, "kept": None}
+        return {"data": self.data, "pattern": self.pattern, "kept": None}
 
     def encoding(self):
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(self.path).read_bytes().splitlines())}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.data.splitlines())}
         return tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, texts: list[str]) -> np.ndarray:

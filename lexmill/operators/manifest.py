@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import ids, text
 from lexmill.operators.running import hex_prefix, row_index
+from lexmill.session import hex64
 
 
 def processed(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -31,8 +32,9 @@ def summary(kept: DataFrame) -> DataFrame:
 
 
 def shared_between_splits(manifests: DataFrame, columns: list[str]) -> DataFrame:
-    """field, value, splits: values of the columns that stand in more than one split."""
-    values = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in columns])).alias("x")
+    """field, value, splits: values of the columns that stand in more than one split. The 64 hex digits of a value are compared, in whatever case and
+    whatever stands around them; a value without such digits is compared as it is."""
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(hex64(F.col(c)), F.col(c)).alias("value")) for c in columns])).alias("x")
     per = manifests.select("split", values).select("split", "x.*").where("value is not null").groupBy("field", "value").agg(F.array_sort(F.collect_set("split")).alias("s"))
     return per.where(F.size("s") > 1).select("field", "value", F.array_join("s", ",").alias("splits"))
 

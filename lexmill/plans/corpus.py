@@ -234,9 +234,9 @@ def length_quantiles(s, d):
 
 @query(f"""with {RAW}, i as (select source, sha256(source || chr(0) || shard || chr(0) || row_index) raw_record_id from raw),
 k as (select *, ('0x' || substr(sha256('2026' || chr(0) || raw_record_id), 1, 16))::ubigint rank from i)
-select source, raw_record_id, position from (select *, row_number() over (partition by source order by rank, raw_record_id desc) position from k) where position <= 25""")
+select source, raw_record_id, position from (select *, row_number() over (partition by source order by rank, raw_record_id desc) position from k) where position <= 3000""")
 def stable_sample(s, d):
-    return profile.stable_sample(raw(s, d), 25).select("source", "raw_record_id", "position")
+    return profile.stable_sample(raw(s, d), 3000).select("source", "raw_record_id", "position")
 
 
 @query(f"""with {UNIQUE}, w as (select document_id, unnest(regexp_extract_all(text, '{text.WORD}')) word, generate_subscripts(regexp_extract_all(text, '{text.WORD}'), 1) p from docs),
@@ -362,7 +362,8 @@ def split_assignment(s, d):
 
 
 @query("""with x as (select 'document_id' field, document_id "value", split from manifests union all select 'canonical_text_hash', canonical_text_hash, split from manifests union all select 'duplicate_cluster_id', duplicate_cluster_id, split from manifests)
-select field, "value", string_agg(distinct split, ',' order by split) splits from x where "value" is not null group by all having count(distinct split) > 1""")
+select field, "value", string_agg(distinct split, ',' order by split) splits from (select field, coalesce(nullif(lower(regexp_extract("value", '[0-9a-fA-F]{64}')), ''), "value") "value", split from x)
+where "value" is not null group by all having count(distinct split) > 1""")
 def cross_split_values(s, d):
     return manifest.shared_between_splits(table(s, d, "manifests"), ["document_id", "canonical_text_hash", "duplicate_cluster_id"])
 

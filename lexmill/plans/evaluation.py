@@ -189,7 +189,11 @@ def config_diff(s, d):
     return t.select(fields).select("x.*").groupBy("field").agg(F.count_distinct("v").alias("values"), F.count_if(F.col("v").isNull()).alias("missing"))
 
 
-@query()
+CRC = """xor(list_reduce(list_transform(range(0, length(source)), lambda i: ascii(substr(source, (i + 1)::int, 1))::bigint),
+    lambda c, b: list_reduce(range(0, 8), lambda r, z: case when r & 1 = 1 then xor(r >> 1, 3988292384::bigint) else r >> 1 end, xor(c, b)), 4294967295::bigint), 4294967295::bigint)"""
+
+
+@query(f"select source, (17 * 1000003 + {CRC}) % 2147483647 seed from source_settings")
 def name_seeds(s, d):
     t = table(s, d, "source_settings")
     return t.select("source", ids.name_seed(F.lit(17), F.col("source")).alias("seed"))

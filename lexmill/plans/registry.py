@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import corpus, evaluation, subset, tokens
+from lexmill.plans import audits, corpus, evaluation, subset, tokens
 
-MODULES = (corpus, subset, tokens, evaluation)
+MODULES = (corpus, subset, tokens, evaluation, audits)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -151,8 +151,8 @@ def stream_blocks(s, d):
     return subset.blocks(subset.plan(*_stream(s, d)))
 
 
-@query(f"""with {PLAN}, t as (select max(stream_end) total from plan), b as (select total, unnest(range(0, (total - 1) // 4096 + 1)) batch from t)
-select batch, batch * 4096 start_offset, least(total, (batch + 1) * 4096) end_offset, least(total, (batch + 1) * 4096) - batch * 4096 real_tokens, (batch + 1) * 4096 - least(total, (batch + 1) * 4096) padding from b""")
+@query(f"""with {PLAN}, t as (select max(stream_end) total from plan), b as (select total, unnest(range(0, (total - 1) // 65536 + 1)) batch from t)
+select batch, batch * 65536 start_offset, least(total, (batch + 1) * 65536) end_offset, least(total, (batch + 1) * 65536) - batch * 65536 real_tokens, (batch + 1) * 65536 - least(total, (batch + 1) * 65536) padding from b""")
 def micro_batches(s, d):
     return subset.micro_batches(subset.plan(*_stream(s, d)))
 

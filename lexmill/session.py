@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -34,6 +35,11 @@ def build(cores: str = "8", app: str = "lexmill", partitions: int = 16) -> Spark
 _shipped: set[str] = set()
 
 
+def _local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever the driver was started: by its path, or, where executors
     are other machines, as an archive that Spark hands to them. Once for each application."""
@@ -43,7 +49,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent.parent
     known = sc.environment.get("PYTHONPATH", "")
     sc.environment["PYTHONPATH"] = os.pathsep.join([str(root), *([known] if known else [])])
-    if not sc.master.startswith("local"):
+    if not _local(spark):
         base = shared_dir(spark).removeprefix("file://")
         at = Path(base if "://" not in base else tempfile.mkdtemp()) / f"lexmill-{sc.applicationId}.zip"  # read on the driver only
         at.parent.mkdir(parents=True, exist_ok=True)
@@ -71,10 +77,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a folder of our own only where that is unset."""
+    """The folder that all executors share (spark.checkpoint.dir). Where that is unset, a folder of our own in a local session, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not _local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="lexmill-"))
     return _own_dir[0]

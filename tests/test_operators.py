@@ -284,8 +284,19 @@ def test_shards_and_sinks(spark, tmp_path):
         shards.scan(spark, f"{root}/a/part.parquet", "s", "body")
     inv = shards.inventory(spark, f"{root}/a/part.parquet", "s")
     assert inv.where("records = 2 and null_texts = 0").count() == 1
-    now = shards.files(spark, f"{root}/a/part.parquet")
+    with_source = lambda name: shards.files(spark, f"{root}/{name}/part.parquet").withColumn("source", F.lit(name))
+    now = with_source("a").unionByName(with_source("b"))
+    # two sources with files of one name stay apart
+    twin = spark.createDataFrame([("a", "part-0.parquet", 5, "x"), ("b", "part-0.parquet", 5, "y"), ("c", "gone", 1, "z")], "source string, file string, bytes bigint, sha256 string")
+    assert {(r.source, r.file, r.status) for r in shards.unchanged(twin, twin.where("source <> 'c'").withColumn("sha256", F.lit("y"))).collect()} == {("a", "part-0.parquet", "hash"), ("b", "part-0.parquet", "ok"), ("c", "gone", "missing")}
     assert {r.status for r in shards.unchanged(now, now).collect()} == {"ok"}
+    import hashlib as h
+
+    for r in now.where("file like '%.parquet'").collect():
+        assert r.sha256 == h.sha256(open(r.path.removeprefix("file:"), "rb").read()).hexdigest()
+    foot = shards.footers(spark, f"{root}/b/part.parquet").first()
+    assert (foot.records, foot.null_texts, foot.row_groups) == (2, 1, 1) and foot.schema[0].name == "text"
+    assert {r.kind for r in shards.discovered(spark, root).collect()} >= {"parquet"}
     assert shards.totals(inv.where("records > 0")).first().records == 2
     assert shards.registry(inv).count() == 1
     out = f"{root}/out"
@@ -293,7 +304,18 @@ def test_shards_and_sinks(spark, tmp_path):
     assert sinks.corpus(rows, out, 2) == 2
     with pytest.raises(ValueError):
         sinks.promote(rows, out, 3)
-    assert spark.read.parquet(out).count() == 2
+    assert spark.read.parquet(out).count() == 2 and not list(tmp_path.glob("out.*"))
+    both = rows.withColumn("processed_row", F.lit(0))
+    assert sinks.corpus_and_manifests(rows, both, out, f"{root}/manifests") == (2, 2)
+    with pytest.raises(ValueError):
+        sinks.promote_all([(rows, out, 2, ()), (rows.limit(1), f"{root}/manifests", 2, ())])
+    assert spark.read.parquet(f"{root}/manifests").count() == 2
+    blocks = spark.createDataFrame([(0, [1, 2, 3]), (1, [4])], "block bigint, ids array<int>")
+    assert sinks.cache(blocks, f"{root}/cache") == {"blocks": 2, "tokens": 4, "bytes": 8}
+    with pytest.raises(Exception):
+        sinks.cache(spark.createDataFrame([(0, [70_000])], "block bigint, ids array<int>"), f"{root}/cache")
+    with pytest.raises(ValueError):
+        sinks.csv(rows.limit(0), f"{root}/none")
     sinks.lines(rows.where("split = 'train'"), f"{root}/lines")
     assert [r.value for r in spark.read.text(f"{root}/lines").collect()] == ["bir iki"]
     with pytest.raises(Exception):
@@ -334,3 +356,60 @@ def test_clusters_at_the_threshold_of_the_reference(spark):
     assert high and set(high) < set(low)
     inside = {(c, low[r]) for r, c in high.items()}
     assert len(inside) == len(set(high.values()))
+
+
+def test_configs(monkeypatch, tmp_path):
+    from lexmill.functions import config
+
+    a = {"b": {"d": 2, "c": [1, {"x": "old"}]}, "a": "old", "e": {}}
+    assert config.canonical(a) == '{"a":"old","b":{"c":[1,{"x":"old"}],"d":2},"e":{}}'
+    assert config.digest(a) == hashlib.sha256(config.canonical(a).encode()).hexdigest() and config.digest(a, 1) != config.digest(1, a)
+    assert config.flat(a) == {"b.d": 2, "b.c": [1, {"x": "old"}], "a": "old", "e": {}}
+    assert config.replaced(a, "old", "new") == {"b": {"d": 2, "c": [1, {"x": "new"}]}, "a": "new", "e": {}}
+    (tmp_path / "c.json").write_text(config.pretty(a))
+    monkeypatch.setenv("LEXMILL_B__D", "7")
+    assert config.load(str(tmp_path / "c.json"))["b"]["d"] == 7
+
+
+def test_stream_of_ids(spark):
+    """Against the stream as one list: blocks, batches, windows, positions, bounds; an empty document and none at all."""
+    from lexmill.operators import stream as st
+
+    rnd = random.Random(5)
+    docs = [(f"{i:064x}", [rnd.randrange(2, 300) for _ in range(rnd.choice([0, 1, 5, 700, 3000]))]) for i in range(30)]
+    df = spark.createDataFrame(docs, "document_id string, ids array<int>")
+    placed = st.placed(df)
+    order = [r.document_id for r in placed.orderBy("sampling_order").collect()]
+    whole = [x for d in order for x in dict(docs)[d]]
+    assert len(order) == sum(1 for _, i in docs if i)
+    target = len(whole) - 37
+    blocks = st.blocks(st.truncated(placed, target), 64)
+    assert [x for r in blocks.orderBy("block").collect() for x in r.ids] == whole[:target]
+    rows = st.batches(blocks, 8, 64).orderBy("batch", "row").collect()
+    assert len(rows) % 8 == 0 and all(len(r.input_ids) == len(r.labels) == 64 for r in rows) and rows[-1].end_offset == target
+    flat = [x for r in rows for x in r.labels]
+    assert flat[:target] == whole[:target] and set(flat[target:]) <= {-100} and set(x for r in rows for x in r.input_ids[r.real_tokens :]) <= {1}
+    windows = st.window_ids(df)
+    assert st.target_identity(df, windows).where("not holds").count() == 0
+    for d, i in docs:
+        if len(i) > 1:
+            own = windows.where(F.col("document_id") == d).orderBy("window").collect()
+            assert [x for r in own for x in r.labels if x != -100] == i[1:] and all(len(r.input_ids) == len(r.labels) for r in own)
+    assert st.bounds(df, 100).where("not in_bounds").count() == sum(1 for _, i in docs if not i or max(i) >= 100)
+    empty = df.limit(0)
+    assert st.blocks(st.placed(empty)).count() == 0 and st.batches(st.blocks(st.placed(empty))).count() == 0
+    stored = placed.select("document_id", F.lit("f").alias("processed_file"), F.col("sampling_order").alias("processed_row"), F.col("tokens").alias("token_count"))
+    plan = placed.join(stored.select("document_id", "processed_file", "processed_row"), "document_id")
+    broken = stored.where("processed_row <> 2").withColumn("document_id", F.when(F.col("processed_row") == 3, "other").otherwise(F.col("document_id")))
+    assert {(r.processed_row, r.problem) for r in st.positions(plan, target, broken).where("problem is not null").collect()} == {(2, "missing"), (3, "identity")}
+
+
+def test_piece_encoder_agrees_with_its_counter():
+    from lexmill.functions.tokens import PieceCounter, PieceEncoder
+
+    pieces = [("▁a", -1.0, 2), ("b", -1.0, 3), ("▁", -2.0, 4), ("a", -3.0, 5), ("ab", -1.5, 6)]
+    texts = ["a ab aab abb b xx x", "", "çç a", "bxxb ababab"]
+    ids = PieceEncoder(pieces)(texts)
+    count, lost = PieceCounter([("", 0.0), *((p, s) for p, s, _ in pieces)]).both(texts)
+    assert [len(i) for i in ids] == count.tolist() and [int((i == 0).sum()) for i in ids] == lost.tolist()
+    assert ids[0].tolist()[:3] == [2, 2, 3]
