@@ -23,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import arrays as A
+from lexmill.session import Stages
 
 LANGS = ("az", "tr", "ru", "en")
 #: Labelled documents a language that the model is fitted on.
@@ -106,31 +107,12 @@ def cut(texts: list[str]) -> Words:
 
 
 class Model:
-    """log-probabilities [bin, language]; the last language is Azerbaijani without marks."""
+    """log-probabilities [bin, language] from counts [language, bin]; the last language is Azerbaijani without marks."""
 
-    def __init__(self, texts: list[str], labels: np.ndarray):
-        self.table = self._fit(texts, labels)
-        if len(texts):
-            own = self.documents(texts)
-            keep = own == labels
-            for lang in range(len(LANGS)):
-                if not keep[labels == lang].any():
-                    keep[labels == lang] = True
-            self.table = self._fit([t for t, k in zip(texts, keep) if k], labels[keep])
-
-    @staticmethod
-    def _fit(texts: list[str], labels: np.ndarray) -> np.ndarray:
-        table = np.zeros((len(LANGS) + 1, 1 << BITS), np.float64)
-        bare = str.maketrans(MARKED, UNMARKED)
-        for lang in range(len(LANGS)):
-            own = [t for t, x in zip(texts, labels) if x == lang]
-            for a, b in A.slices(own):
-                table[lang] += np.bincount(cut(own[a:b]).bins, minlength=1 << BITS)
-                if lang == 0:
-                    table[-1] += np.bincount(cut([t.translate(bare) for t in own[a:b]]).bins, minlength=1 << BITS)
-        total = table.sum(axis=1, keepdims=True)
-        rest = 0.02 * table.sum(axis=0) / max(1.0, table.sum()) + 1e-8
-        return np.log((table / np.maximum(total, 1) * 0.98) + rest).T.astype(np.float32).copy()
+    def __init__(self, counts: np.ndarray):
+        total = counts.sum(axis=1, keepdims=True)
+        rest = 0.02 * counts.sum(axis=0) / max(1.0, counts.sum()) + 1e-8
+        self.table = np.log((counts / np.maximum(total, 1) * 0.98) + rest).T.astype(np.float32).copy()
 
     def scores(self, w: Words) -> np.ndarray:
         """log-likelihood [word, language]."""
@@ -292,24 +274,53 @@ def _passages(model: Model):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
     """The model, from at most ``sample`` labelled documents of each language, those with the least hashes of their ids.
 
-    Labels are counted first, so that one scan brings about two samples of each language, however many rows there are."""
+    Labels are counted first, so that one scan brings about two samples of each language, however many rows there are. The sample stays with
+    the executors; the driver gets its counts of strings, at most one for each language and bin."""
+    spark = docs.sparkSession
     label = language_of(F.col(label_col)).alias("label")
     have = {r.label: r.n for r in docs.select(label).where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not have:
-        return Model([], np.zeros(0, np.int64))
     most = {lang: (1 << 63) * (2 * min(1.0, 2 * sample / n) - 1) for lang, n in have.items()}
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), label)
     rows = rows.where("text is not null and label is not null and length(text) >= 50").withColumn("h", F.xxhash64("id", F.lit(5)))
     near = F.lit(False)
     for lang, top in most.items():
         near = near | ((F.col("label") == lang) & (F.col("h") <= min(int(top), (1 << 63) - 1)))
-    got = sorted(rows.where(near).select("label", "h", "id", "text").collect(), key=lambda r: (r.h, r.id is not None, r.id or 0, r.text))
-    texts, labels = [], []
-    for k, lang in enumerate(LANGS):
-        own = [r.text for r in got if r.label == lang][:sample]
-        texts += [unicodedata.normalize("NFC", t) for t in own]
-        labels += [k] * len(own)
-    return Model(texts, np.array(labels, np.int64))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h", "id", "text"))  # of about two samples of a language
+    chosen = rows.where(near).withColumn("place", place).where(F.col("place") <= sample)
+    chosen = Stages(spark).put(chosen.select(F.array_position(F.array(*map(F.lit, LANGS)), F.col("label")).cast("int").alias("k"), "text").repartition(spark.sparkContext.defaultParallelism))
+    first = _counted(chosen, None)
+    second = _counted(chosen, spark.sparkContext.broadcast(Model(first)))
+    for lang in range(len(LANGS)):
+        if not second[lang].any():  # no text of the language is taken for it: all of them stay
+            second[lang] = first[lang]
+            if lang == 0:
+                second[-1] = first[-1]
+    return Model(second)
+
+
+def _counted(chosen: DataFrame, sent) -> np.ndarray:
+    """How often each string stands in the sample of each language [language, bin]; with a model, in the texts that it takes for their language."""
+    bare = str.maketrans(MARKED, UNMARKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((len(LANGS) + 1, 1 << BITS), np.int64)
+        for batch in batches:
+            labels = batch.column(0).to_numpy() - 1
+            texts = [unicodedata.normalize("NFC", t) for t in batch.column(1).to_pylist()]
+            keep = np.ones(len(texts), bool) if sent is None else sent.value.documents(texts) == labels if texts else np.zeros(0, bool)
+            for lang in range(len(LANGS)):
+                own = [t for t, x in zip(texts, keep & (labels == lang)) if x]
+                for a, b in A.slices(own):
+                    table[lang] += np.bincount(cut(own[a:b]).bins, minlength=1 << BITS)
+                    if lang == 0:
+                        table[-1] += np.bincount(cut([t.translate(bare) for t in own[a:b]]).bins, minlength=1 << BITS)
+        k, at = np.nonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(table[k, at])], names=["k", "bin", "n"])
+
+    got = chosen.mapInArrow(run, "k int, bin int, n bigint").groupBy("k", "bin").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((len(LANGS) + 1, 1 << BITS))
+    out[got["k"].to_numpy(), got["bin"].to_numpy()] = got["n"].to_numpy()
+    return out
 
 
 def passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
