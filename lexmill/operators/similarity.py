@@ -1,5 +1,5 @@
-"""Exact similarity of candidate pairs of texts: each text that has a candidate becomes a set of hashes once, where it is read, and the set
-goes to the groups of pairs that need it. Texts are never shuffled, and never copied for each pair."""
+"""Exact similarity of candidate pairs of texts. A bitmap at the scan keeps only texts that have a candidate; each goes once to each group of
+pairs that needs it, where it becomes a set of hashes. The other texts stay where they are, and none is copied for each pair."""
 
 from __future__ import annotations
 
@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import arrays as A
 from lexmill.functions import bitmap
-from lexmill.session import Stages
+from lexmill.session import Stages, broadcast_if
 
 #: Pairs that are verified together.
 GROUP = 2000
+#: Rows of ids and groups that may be broadcast; more are shuffled.
+FEW = 200_000
 
 
 def grouped(pairs: DataFrame, count: int, group: int | None = None) -> DataFrame:
@@ -32,25 +34,30 @@ def grouped(pairs: DataFrame, count: int, group: int | None = None) -> DataFrame
     return homed.join(size, "home").select(F.when(F.col("side") > 1, large).otherwise(small).alias("g"), "l", "r")
 
 
-def _sets(sent, kernel: Callable[[list[str]], list[np.ndarray]]):
+def _kept(sent):
+    """id, text where the key (second column) is one that the bitmap lets pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             use = pa.array(bitmap.passed(sent.value, batch.column(1).to_numpy().view(np.uint64)))
-            ids, texts = batch.column(0).take(use), [t or "" for t in batch.column(2).take(use).to_pylist()]
-            for a, b in A.slices(texts):
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([x.view(np.int64) for x in kernel(texts[a:b])], pa.list_(pa.int64()))], names=["id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(use), batch.column(2).take(use)], names=["id", "text"])
 
     return run
 
 
-def _score(threshold: float):
-    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        own = dict(zip(sets["id"].to_pylist(), range(len(sets))))
-        grams = sets["grams"].combine_chunks()
+def _score(threshold: float, kernel: Callable[[list[str]], list[np.ndarray]]):
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        least: dict = {}
+        for i, t in zip(texts["id"].to_pylist(), texts["text"].to_pylist()):
+            least[i] = min(t or "", least.get(i, t or ""))
+        names, own, sets = list(least), list(least.values()), []
+        for a, b in A.slices(own):
+            sets += kernel(own[a:b])
+        grams = dict(zip(names, sets))
         score = np.full(len(pairs), -1.0)
         for i, (x, y) in enumerate(zip(pairs["l"].to_pylist(), pairs["r"].to_pylist())):
-            if x in own and y in own:
-                a, b = (grams[own[z]].values.to_numpy() for z in (x, y))
+            if x in grams and y in grams:
+                a, b = grams[x], grams[y]
                 if min(len(a), len(b)) >= threshold * max(len(a), len(b)):
                     both = np.concatenate([a, b])
                     both.sort(kind="stable")
@@ -64,7 +71,7 @@ def _score(threshold: float):
 
 def scored(pairs: DataFrame, texts: DataFrame, threshold: float, kernel: Callable[[list[str]], list[np.ndarray]]) -> DataFrame:
     """l, r, similarity of the pairs (l, r) at or above the threshold. ``texts`` has id and text, ``kernel`` gives each text's distinct
-    hashes in order. Pairs without a text on both sides are left out; two empty sets are equal."""
+    hashes in order. Pairs without a text on both sides are left out; two empty sets are equal; of repeated ids the least text counts."""
     spark, stages = texts.sparkSession, Stages(texts.sparkSession)
     kind = texts.schema["id"].dataType.simpleString()
     pairs = stages.put(pairs.select("l", "r"))
@@ -72,7 +79,7 @@ def scored(pairs: DataFrame, texts: DataFrame, threshold: float, kernel: Callabl
     needed = stages.put(in_groups.select("g", F.explode(F.array("l", "r")).alias("id")).distinct())
     keys = stages.put(needed.select(F.xxhash64("id").alias("key")).distinct())
     sent = spark.sparkContext.broadcast(bitmap.build(keys, keys.count()))
-    sets = texts.select("id", F.xxhash64("id").alias("key"), "text").mapInArrow(_sets(sent, kernel), f"id {kind}, grams array<bigint>")
-    sets = stages.put(sets.dropDuplicates(["id"]))
+    met = texts.select("id", F.xxhash64("id").alias("key"), "text").mapInArrow(_kept(sent), f"id {kind}, text string")
+    sent_to = broadcast_if(needed, needed.count(), FEW).join(met, "id").select("g", "id", "text")
     stages.drop(keys)
-    return in_groups.groupBy("g").cogroup(needed.join(sets, "id").select("g", "id", "grams").groupBy("g")).applyInArrow(_score(threshold), f"l {kind}, r {kind}, similarity double")
+    return in_groups.groupBy("g").cogroup(sent_to.groupBy("g")).applyInArrow(_score(threshold, kernel), f"l {kind}, r {kind}, similarity double")
