@@ -78,8 +78,9 @@ def _grams(sent=None):
     return run
 
 
-def hits(features: DataFrame, most_pairs: int | None = None) -> DataFrame:
-    """e, t, n, same_text, same_cluster, grams: evaluation record, training record, number of features in both, and of which kinds they are.
+def hits(features: DataFrame, most_pairs: int | None = None, apart: bool = True) -> DataFrame:
+    """e, t, n: evaluation record, training record, number of features in both; of identities also same_text, same_cluster: which of them they are.
+    ``apart``: an id is not met with itself.
 
     Every pair is made, unless the caller names ``most_pairs``: then a feature that would make more is given by representatives, each of
     its evaluation records with the least training record, and the least evaluation record with each training record. No query does."""
@@ -102,8 +103,9 @@ def hits(features: DataFrame, most_pairs: int | None = None) -> DataFrame:
     met = left.join(right, ["feature", "part"]).select("e", "t", "feature")
     if count:
         met = met.unionByName(stars)
-    kinds = [F.bool_or(F.col("feature").startswith(k)).alias(name) for k, name in (("h", "same_text"), ("c", "same_cluster"), ("g", "grams"))]
-    return met.where("e <> t").distinct().groupBy("e", "t").agg(F.count("*").alias("n"), *kinds)
+    named = features.schema["feature"].dataType.simpleString() == "string"
+    kinds = [F.bool_or(F.col("feature").startswith(k)).alias(name) for k, name in (("h", "same_text"), ("c", "same_cluster"))] if named else []
+    return (met.where("e <> t") if apart else met).distinct().groupBy("e", "t").agg(F.count("*").alias("n"), *kinds)
 
 
 def same_records(found: DataFrame) -> DataFrame:
@@ -134,51 +136,49 @@ class _Texts:
         spark, self.stages = manifests.sparkSession, Stages(manifests.sparkSession)
         records = text_records(manifests, docs)
         self.classes = self.stages.put(records.groupBy("side", "key").agg(F.min("id").alias("id"), F.min("doc").alias("doc"), F.count_distinct("id").alias("copies")).drop("key"))
-        asked = self.classes.where("side = 'evaluation'").select("doc", F.col("id").alias("e"))
+        asked = self.classes.where("side = 'evaluation'").select(F.col("doc").alias("e")).distinct()
         texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), "text")
         shape = f"doc {docs.schema['doc_id'].dataType.simpleString()}, feature bigint, total bigint"
-        needed = asked.select("doc").distinct()
-        grams = texts.join(broadcast_if(needed, needed.count(), IDS), "doc", "left_semi").mapInArrow(_grams(), shape).distinct()
-        grams = self.stages.put(grams)
-        features = self.stages.put(grams.select("feature").distinct())
+        needed = texts.join(broadcast_if(asked, asked.count(), IDS), F.col("doc") == F.col("e"), "left_semi")
+        grams = needed.mapInArrow(_grams(), shape).groupBy(F.col("doc").alias("e"), "feature").agg(F.max("total").alias("eval_grams"))
+        self.test = self.stages.put(grams)
+        features = self.stages.put(self.test.select("feature").distinct())
         sent = spark.sparkContext.broadcast(bitmap.build(features, features.count()))
         # the scan writes only what evaluation texts have too, but for what the bitmap lets pass by chance, which finds no partner
-        seen = texts.mapInArrow(_grams(sent), shape).select("doc", "feature").distinct()
-        self.test = self.stages.put(asked.join(grams, "doc").groupBy("e", "feature").agg(F.max("total").alias("eval_grams")))
-        self.train = self.stages.put(self.classes.where("side = 'train'").select("doc", F.col("id").alias("t")).join(seen, "doc").select("t", "feature").distinct())
+        own = self.classes.where("side = 'train'").select("doc").distinct()
+        self.train = self.stages.put(texts.mapInArrow(_grams(sent), shape).join(own, "doc").select(F.col("doc").alias("t"), "feature").distinct())
 
-    def features(self, share: float) -> DataFrame:
-        """id, split, feature: the rarest grams of each evaluation record, and the training records' grams."""
+    def candidates(self, share: float) -> DataFrame:
+        """e, t: documents that share one of the rarest grams of the evaluation document."""
         often = self.train.groupBy("feature").agg(F.count("*").alias("nt"))
         rarest = Window.partitionBy("e").orderBy(F.coalesce("nt", F.lit(0)), "feature")
         probes = self.test.join(often, "feature", "left").withColumn("k", F.row_number().over(rarest)).where((F.col("k") <= F.col("eval_grams") - F.ceil(share * F.col("eval_grams")) + 1) & F.col("nt").isNotNull())
-        name = F.concat(F.lit("g"), F.hex("feature")).alias("feature")
-        return probes.select(F.col("e").alias("id"), F.lit("evaluation").alias("split"), name).unionByName(self.train.select(F.col("t").alias("id"), F.lit("train").alias("split"), name))
+        asked = probes.select(F.col("e").alias("id"), F.lit("evaluation").alias("split"), "feature").unionByName(self.train.select(F.col("t").alias("id"), F.lit("train").alias("split"), "feature"))
+        return self.stages.put(hits(asked, apart=False).select("e", "t"))
 
-    def contained(self, pairs: DataFrame, share: float) -> DataFrame:
-        """e, t, shared, eval_grams, containment of the pairs (e, t) that reach ``share``."""
-        found = pairs.select("e", "t").join(self.test, "e").join(self.train, ["t", "feature"]).groupBy("e", "t").agg(F.count("*").alias("shared"), F.max("eval_grams").alias("eval_grams"))
-        return found.withColumn("containment", F.col("shared") / F.col("eval_grams")).where(F.col("containment") >= share)
+    def contained(self, share: float) -> DataFrame:
+        """e, t, shared, eval_grams, containment, eval_copies, train_copies: records, of least ids of equal texts, in which the first's grams stand to ``share`` in the second."""
+        pairs = self.candidates(share).join(self.test, "e").join(self.train, ["t", "feature"])
+        found = pairs.groupBy("e", "t").agg(F.count("*").alias("shared"), F.max("eval_grams").alias("eval_grams"))
+        found = found.withColumn("containment", F.col("shared") / F.col("eval_grams")).where(F.col("containment") >= share)
+        side = lambda name, k, copies: self.classes.where(f"side = '{name}'").select(F.col("doc").alias(k), F.col("id").alias(f"{k}_id"), F.col("copies").alias(copies))
+        named = found.join(side("evaluation", "e", "eval_copies"), "e").join(side("train", "t", "train_copies"), "t").where("e_id <> t_id")
+        return named.select(F.col("e_id").alias("e"), F.col("t_id").alias("t"), "shared", "eval_grams", "containment", "eval_copies", "train_copies").dropDuplicates(["e", "t"])
 
 
 def overlaps(manifests: DataFrame, docs: DataFrame, share: float = CONTAINED) -> DataFrame:
     """e, t, same_text, same_cluster, shared, eval_grams, containment: every pair of an evaluation and a training record that has a text hash or
     a cluster in common, or whose texts are at hand and the evaluation record's word 5-grams stand to ``share`` in the training record
     (else these three are null; for equal texts of one side, they are given for their least ids)."""
-    texts = _Texts(manifests, docs)
-    found = texts.stages.put(hits(identities(manifests).unionByName(texts.features(share))).drop("n"))
-    near = texts.contained(found.where("grams"), share)
-    return found.drop("grams").join(near, ["e", "t"], "left").where("same_text or same_cluster or containment is not null")
+    near = _Texts(manifests, docs).contained(share).drop("eval_copies", "train_copies")
+    found = hits(identities(manifests)).drop("n").join(near, ["e", "t"], "full")
+    return found.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("same_text", "same_cluster")})
 
 
 def contained_texts(manifests: DataFrame, docs: DataFrame, share: float = CONTAINED) -> DataFrame:
     """eval_id, train_id, shared, eval_grams, containment, eval_copies, train_copies: the part of ``overlaps`` that the texts at hand give, with the number of
     records that each id stands for."""
-    texts = _Texts(manifests, docs)
-    near = texts.contained(texts.stages.put(hits(texts.features(share)).select("e", "t")), share)
-    copies = lambda side, name: texts.classes.where(f"side = '{side}'").groupBy(F.col("id").alias(name[0])).agg(F.max("copies").alias(f"{name}_copies"))
-    found = near.join(copies("evaluation", "eval"), "e").join(copies("train", "train"), "t")
-    return found.select(F.col("e").alias("eval_id"), F.col("t").alias("train_id"), "shared", "eval_grams", "containment", "eval_copies", "train_copies")
+    return _Texts(manifests, docs).contained(share).withColumnsRenamed({"e": "eval_id", "t": "train_id"})
 
 
 def _subsets(features: str) -> Column:
