@@ -75,12 +75,12 @@ def _prints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def band_keys(values: Column, size: int = SIZE, bands: int = BANDS) -> Column:
-    """For each band, 128 bits of the digest of its values as 64-bit big-endian numbers, in hex."""
+    """For each band, 128 bits of the digest of its values as 64-bit big-endian numbers, in hex; null for no fingerprint."""
     if size % bands:
         raise ValueError("the fingerprint does not divide into the bands")
     rows = size // bands
     raw = lambda b: F.unhex(F.array_join(F.transform(F.slice(values, b * rows + 1, rows), lambda v: F.lpad(F.hex(v), 16, "0")), ""))
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.substring(F.sha2(raw(b), 256), 1, 32))
+    return F.when(values.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.substring(F.sha2(raw(b), 256), 1, 32)))
 
 
 # declared so that the fingerprint is not computed once for each band
