@@ -65,7 +65,7 @@ def p2_check(s, d):
     each = rows.join(new, "document_id")
     tear = lambda key: each.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("new").alias("x"), F.max("new").alias("y")).where("x <> y").agg(F.count("*").alias(f"torn_{key}"))
     held = F.forall("parts", lambda p: F.abs(p.n - p.x * F.col("total")) <= 0.01 * F.col("total") + 1)
-    return sums.select(F.col("total").alias("records"), held.alias("shares_held")).join(F.broadcast(tear("cluster_id"))).join(F.broadcast(tear("text_hash")))  # one row each
+    return sums.select(F.coalesce("total", F.lit(0)).alias("records"), held.alias("shares_held")).join(F.broadcast(tear("cluster_id"))).join(F.broadcast(tear("text_hash")))  # one row each
 
 
 def p2_found(s, d):
