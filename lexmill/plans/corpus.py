@@ -268,7 +268,7 @@ def near_candidate_pairs(s, d):
 
 
 def _edges(s, d, threshold):
-    docs = Stages(s).put(unique(s, d))
+    docs = unique(s, d)
     return docs, near.verified(near.candidates(near.bands(docs)), docs, threshold)
 
 
@@ -396,7 +396,7 @@ close_ as (select distinct a.row_index l, b.row_index r from rare a join rare b
 
 
 def _exact(s, d):
-    docs = Stages(s).put(unique(s, d))
+    docs = unique(s, d)
     return docs, near.exact_edges(docs, LOW)
 
 

@@ -413,3 +413,15 @@ def test_piece_encoder_agrees_with_its_counter():
     count, lost = PieceCounter([("", 0.0), *((p, s) for p, s, _ in pieces)]).both(texts)
     assert [len(i) for i in ids] == count.tolist() and [int((i == 0).sum()) for i in ids] == lost.tolist()
     assert ids[0].tolist()[:3] == [2, 2, 3]
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_unique_with_hot_text_and_repeated_rows(spark, monkeypatch, most):
+    from lexmill.operators import ingest, skew
+
+    monkeypatch.setattr(ingest, "COPIED", most)
+    monkeypatch.setattr(skew.lookup, "__defaults__", ("inner", most))
+    rows = [(1, "p", i, "hot", "h") for i in range(400)] + [(0, "p", 7, "hot", "h")] + [(0, "p", 1000 + i, f"t{i // 2}", f"k{i // 2}") for i in range(20)] + [(0, "p", 2000, "alone", "a")] * 2
+    df = spark.createDataFrame(rows, "source_order int, shard string, row_index bigint, text string, canonical_hash string")
+    got = {r.canonical_hash: (r.source_order, r.row_index, r.exact_group_size) for r in ingest.unique(df).collect()}
+    assert got == {"h": (0, 7, 401), "a": (0, 2000, 2), **{f"k{i}": (0, 1000 + 2 * i, 2) for i in range(10)}} and ingest.unique(df).count() == len(got)
