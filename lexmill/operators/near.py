@@ -6,13 +6,14 @@ Defined results: documents whose text is null take part in nothing; no documents
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import arrays as A
 from lexmill.functions import fingerprint, ids, text
 from lexmill.operators.components import components
 from lexmill.operators.pairs import block_pairs
+from lexmill.operators.parts import close_pairs
 from lexmill.operators.similarity import scored
 from lexmill.session import Stages
 
@@ -73,22 +74,25 @@ def hash_of(word: str) -> int:
     return int.from_bytes(word.encode("utf-32-le", "surrogatepass").ljust(16, b"\xff"), "little") % 0xFFFFFFFFFFFFFFC5
 
 
+def _sets(texts: list[str], width: int = text.WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_shingles`` gives, in one array, and where each text's hashes begin."""
+    words = [" ".join(t.split()) for t in texts]
+    if any(0 < len(w) < width for w in words):
+        each = _shingles(texts, width)
+        return np.concatenate(each), A.offsets(np.array(list(map(len, each))))
+    hashes, at = A.ngrams(*A.points(words), width)
+    for a, b in zip(at, at[1:]):
+        hashes[a:b].sort()
+    first = np.ones(len(hashes), bool)
+    first[1:] = hashes[1:] != hashes[:-1]
+    first[at[:-1][at[:-1] < len(hashes)]] = True
+    return hashes[first], A.offsets(A.counts(first, at))
+
+
 def exact_edges(docs: DataFrame, threshold: float) -> DataFrame:
-    """l, r, similarity: every pair at the threshold, without fingerprints. Shingles are ordered from rare to frequent; two sets that agree
-    to t share one of their ceil((1 - t) n) + 1 rarest ones, so only those are joined (in blocks, where one is frequent)."""
-    stages = Stages(docs.sparkSession)
-    each = stages.put(docs.select(F.col("row_index").alias("doc"), F.explode(F.transform(text.shingles(F.col("text")), lambda s: F.xxhash64(s))).alias("s")))
-    held = each.groupBy("s").agg(F.count("*").alias("df"))
-    sized = each.groupBy("doc").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("doc").orderBy("df", "s")
-    rare = each.join(held, "s").join(sized, "doc").withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
-    rare = stages.put(rare.select(F.struct("doc", "n", "k").alias("item"), "s"))
-    common = rare.groupBy("s").agg(F.count("*").alias("size")).where("size > 1")
-    met = block_pairs(rare.join(common, "s"), "s", "item", "size")
-    # sizes must agree, and at the first shingle in common enough must be left on both sides
-    sizes = F.least("l.n", "r.n") >= threshold * F.greatest("l.n", "r.n")
-    left = F.least(F.col("l.n") - F.col("l.k"), F.col("r.n") - F.col("r.k")) + 1 >= threshold / (1 + threshold) * (F.col("l.n") + F.col("r.n")) - 1e-6
-    return verified(met.where(sizes & left).select(F.col("l.doc").alias("l"), F.col("r.doc").alias("r")).distinct(), docs, threshold)
+    """l, r, similarity: every pair at the threshold, without fingerprints. Only pairs with enough parts of their shingle sets in common are compared (see ``parts``)."""
+    pairs = close_pairs(docs.select(F.col("row_index").alias("id"), "text"), threshold, _sets)
+    return verified(Stages(docs.sparkSession).put(pairs), docs, threshold)
 
 
 def recall(exact: DataFrame, candidate_pairs: DataFrame, levels=(0.80, 0.85, 0.90, 0.95)) -> DataFrame:
