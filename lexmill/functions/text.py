@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,18 +40,24 @@ nfc = nfc.asNondeterministic()
 def normalized(text: Column) -> dict[str, Column]:
     """Steps of normalization by name, each on the one before: n1 NFC, n2 line feeds, n3 no controls, n4 single spaces and
     stripped lines, n5 at most one blank line, text without outer space. Null is taken as empty. Chain them with withColumn."""
+    # a pattern runs only where what it looks for is there, which a search for a plain string tells sooner, and matches only what changes
+    after = lambda name, pattern, to, *there: F.when(reduce(or_, there), F.regexp_replace(name, pattern, to)).otherwise(F.col(name))
+    has = lambda name, s: F.col(name).contains(s)
+    blank = rf"\x{{9}}\x{{20}}{WIDE_SPACE}"
+    edges = [F.col("n4a").startswith(" "), F.col("n4a").endswith(" "), has("n4a", "\n "), has("n4a", " \n")]
     return {
         "n1": F.coalesce(nfc(text), F.lit("")),
-        "n2": F.regexp_replace("n1", r"\r\n?", "\n"),
+        "n2": after("n1", r"\r\n?", "\n", has("n1", "\r")),
         "n3": F.regexp_replace("n2", CONTROL, ""),
-        "n4": F.regexp_replace(F.regexp_replace("n3", rf"[\x{{9}}\x{{20}}{WIDE_SPACE}]+", " "), r"(?dm)^ +| +$", ""),
-        "n5": F.regexp_replace("n4", "\n{3,}", "\n\n"),
-        "clean": F.regexp_replace("n5", r"^\s+|\s+$", ""),
+        "n4a": F.regexp_replace("n3", rf"[\x{{9}}{WIDE_SPACE}][{blank}]*|\x{{20}}[{blank}]+", " "),  # not a single space, which stays
+        "n4": after("n4a", r"(?dm)^ +| +$", "", *edges),
+        "n5": after("n4", "\n{3,}", "\n\n", has("n4", "\n\n\n")),
+        "clean": F.btrim("n5", F.lit(" \n")),  # no other white space is left
     }
 
 
 def letters(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    return F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
 
 
 def word_count(text: Column) -> Column:

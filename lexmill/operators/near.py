@@ -61,12 +61,9 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def _shingles(texts: list[str], width: int = text.WIDTH) -> list[np.ndarray]:
-    """Of each text the distinct hashes of what ``text.shingles`` gives."""
-    words = [" ".join(t.split()) for t in texts]
-    cps, starts = A.points(words)
-    hashes, at = A.ngrams(cps, starts, width)
-    short = {i: A.mix(np.array([hash_of(w)], np.uint64)) for i, w in enumerate(words) if 0 < len(w) < width}
-    return [short.get(i, np.unique(hashes[at[i] : at[i + 1]])) for i in range(len(words))]
+    """Of each text the distinct hashes of what ``text.shingles`` gives, in order."""
+    hashes, at = _sets(texts, width)
+    return [hashes[a:b] for a, b in zip(at, at[1:])]
 
 
 def hash_of(word: str) -> int:
@@ -77,16 +74,17 @@ def hash_of(word: str) -> int:
 def _sets(texts: list[str], width: int = text.WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """What ``_shingles`` gives, in one array, and where each text's hashes begin."""
     words = [" ".join(t.split()) for t in texts]
-    if any(0 < len(w) < width for w in words):
-        each = _shingles(texts, width)
-        return np.concatenate(each), A.offsets(np.array(list(map(len, each))))
     hashes, at = A.ngrams(*A.points(words), width)
     for a, b in zip(at, at[1:]):
         hashes[a:b].sort()
     first = np.ones(len(hashes), bool)
     first[1:] = hashes[1:] != hashes[:-1]
     first[at[:-1][at[:-1] < len(hashes)]] = True
-    return hashes[first], A.offsets(A.counts(first, at))
+    hashes, at = hashes[first], A.offsets(A.counts(first, at))
+    if short := [i for i, w in enumerate(words) if 0 < len(w) < width]:
+        own = A.mix(np.array([hash_of(words[i]) for i in short], np.uint64))
+        hashes, at = np.insert(hashes, at[short], own), at + np.searchsorted(short, np.arange(len(at)))
+    return hashes, at
 
 
 def exact_edges(docs: DataFrame, threshold: float) -> DataFrame:

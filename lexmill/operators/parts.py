@@ -29,7 +29,7 @@ WEIGHTS, COUNTED = 1 << 22, 2000
 #: Bytes of a part's digest. Those that agree by chance only give pairs that are compared in vain.
 DIGEST = 3
 #: Matches that are counted at once.
-CHUNK = 1 << 23
+CHUNK = 1 << 21
 
 Sets = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -107,38 +107,58 @@ def _sent(sets: Sets, threshold: float, weights):
     return run
 
 
-def matched(code: np.ndarray, n: np.ndarray, least_own: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the sets that share ``MATCHES`` digests. ``code``: digest and, in the low 40 bits, place of the set; ``n``: sizes by place. Pairs of which both are in the lower class have met in its own level."""
+def matched(code: np.ndarray, n: np.ndarray, own: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the sets that share ``MATCHES`` digests. ``code``: digest and, in the low 40 bits, place of the set; ``n``: sizes by place, in order; ``own``: the first
+    place of the upper class. Pairs of which both are before it have met in their own level. A set may be given as its own partner."""
+    low = U64((1 << 40) - 1)
     code = np.sort(code)
-    digest, place = code >> U64(40), (code & U64((1 << 40) - 1)).view(np.int64)
-    begin = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]]))
-    length = np.diff(np.append(begin, len(code)))
-    left = np.repeat(begin + length, length) - np.arange(len(code)) - 1  # the later ones of the same digest
-    slices = max(1, -(-int(left.sum()) // CHUNK))
-    for k in range(slices):
-        first = np.flatnonzero((left > 0) & (place % slices == k)) if slices > 1 else np.flatnonzero(left)
-        # a set in a very long run may alone exceed a chunk, by the number of sets at most for each of its parts
-        many = left[first]
-        x = np.repeat(first, many)
-        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
-        l, r = place[x], place[y]
-        small, large = np.minimum(n[l], n[r]), np.maximum(n[l], n[r])
-        ok = (large >= least_own) & (small >= threshold * large - 1e-6) & (l != r)
-        pair = np.sort(l[ok] * len(n) + r[ok])
-        often = np.unique(pair[MATCHES - 1 :][pair[MATCHES - 1 :] == pair[: len(pair) - MATCHES + 1]]) if len(pair) >= MATCHES else pair[:0]
+    same = (code[1:] ^ code[:-1]) <= low
+    shared = np.zeros(len(code), bool)
+    shared[1:] = same
+    shared[:-1] |= same
+    code = code[shared]  # half of all digests have no equal
+    place = (code & low).view(np.int64)
+    # partners are the later ones of a digest, up to the largest size that can agree and, for a set of the lower class, from the upper class on
+    far = np.searchsorted(n, (n + 1e-6) / threshold, side="right")
+    head = code & ~low
+    upto = np.searchsorted(code, head | far[place].astype(U64))
+    since = np.arange(1, len(code) + 1)
+    before = place < own
+    since[before] = np.searchsorted(code, head[before] | U64(own))
+    many = upto - since
+    order = np.flatnonzero(many > 0)
+    order = order[np.argsort(place[order], kind="stable")]
+    place, first, since, many = place.astype(np.int32), place[order], since[order], many[order]
+    # cut between sets; a set that many share may alone exceed a chunk, by the number of sets at most for each of its parts
+    total = A.offsets(many)
+    edge = np.append(np.flatnonzero(np.diff(first, prepend=-1)), len(first))
+    cuts = np.unique(edge[np.searchsorted(total[edge], np.arange(0, total[-1] + CHUNK, CHUNK)).clip(max=len(edge) - 1)])
+    for a, b in zip(cuts, cuts[1:]):
+        y = np.repeat(since[a:b] - (total[a:b] - total[a]), many[a:b])
+        y += np.arange(len(y))
+        pair = np.repeat(first[a:b] * len(n), many[a:b])
+        pair += place[y]
+        pair.sort()
+        pair = pair[MATCHES - 1 :][pair[MATCHES - 1 :] == pair[: max(len(pair) - MATCHES + 1, 0)]]
+        often = pair[np.diff(pair, prepend=-1) > 0]
         yield often // len(n), often % len(n)
 
 
 def _met(threshold: float):
     def run(rows: pa.Table) -> pa.Table:
         ids = pa.concat_arrays([x.flatten() for x in rows["ids"].chunks])
-        facts = np.concatenate([np.frombuffer(x.as_py(), np.int32).reshape(2, -1) for x in rows["facts"]], axis=1).astype(np.int64)
+        sent, n = np.concatenate([np.frombuffer(x.as_py(), np.int32).reshape(2, -1) for x in rows["facts"]], axis=1).astype(np.int64)
         raw = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in rows["digests"]]).reshape(-1, DIGEST)
-        code = np.repeat(np.arange(len(ids), dtype=U64), facts[0])
+        by_size = np.argsort(n, kind="stable")
+        place = np.empty(len(n), U64)
+        place[by_size] = np.arange(len(n), dtype=U64)
+        code = np.repeat(place, sent)
         for k in range(DIGEST):
             code |= raw[:, k].astype(U64) << U64(40 + 8 * k)
-        own = int(bounds(threshold, int(facts[1].max()))[rows["level"][0].as_py()])
-        x, y = (np.concatenate(p) for p in zip(*matched(code, facts[1], own, threshold)))
+        n, ids = n[by_size], ids.take(pa.array(by_size))
+        own = int(np.searchsorted(n, bounds(threshold, int(n[-1]))[rows["level"][0].as_py()]))
+        none = np.zeros(0, np.int64)
+        x, y = (np.concatenate(p) for p in zip((none, none), *matched(code, n, own, threshold)))
         x, y = ids.take(pa.array(x)), ids.take(pa.array(y))
         ordered = pc.less(x, y)
         out = pa.table({"l": pc.if_else(ordered, x, y), "r": pc.if_else(ordered, y, x)})
